@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import minhash
+from segloom.llm import decontam, minhash, mixing, quality, sharding
 from segloom.llm.common import materialise, read
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of low quality and toxic ones go."""
+    return quality.drop_rejected(docs, read(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return minhash.drop_near(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items go."""
+    return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the schedule draws them: sources come out at their target weights."""
+    return mixing.mixed_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the shard that it goes to."""
+    return sharding.with_shard(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("shards", shards),
 ]
 
 #: The stages fit a model, compare texts by similarity and difference partitions; SQL can't express them.
