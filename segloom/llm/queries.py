@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, quality, sharding
+from . import decontam, lm, minhash, mixing, quality, sharding, suffix
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_shard_by_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -30,8 +34,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_quality_classifier, op6_shard_by_differencing, op8_decontaminate, op9_minhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op3_quality_classifier, op5_repeated_passages, op6_shard_by_differencing,
+        op8_decontaminate, op9_minhash_near_dedup, op10_context_mixing,
+    )
 }
 
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
