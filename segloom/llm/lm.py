@@ -3,7 +3,7 @@
 Bytes are read as the decisions of a Huffman code of the corpus, bit by bit. Each of several contexts (the
 last one, two and three bytes, and the word so far) is hashed with the place in the code to a cell, whose
 counts over the corpus predict the bit. A mixer adds the predictions in the logistic domain, with weights
-that a gate (place in the code, kind of the last byte) selects, and a last stage refines its output by what
+that a gate (the kind of the last byte) selects, and a last stage refines its output by what
 came of like outputs before. Weights and refinement start alike in every document and are learned online
 as it is read, a block of bytes at a time. The counts come from the other fold of documents, never from
 the scored one.
@@ -23,14 +23,18 @@ from . import text as T
 from .common import emit, slices, text_buffers
 
 #: log2 of a context's cells, contexts, folds, bytes after which weights are refined.
-BITS, CONTEXTS, FOLDS, BLOCK = 21, 4, 2, 256
+BITS, CONTEXTS, FOLDS, BLOCK = 20, 4, 2, 256
 #: Bytes of a word that its context holds; step of the mixer; weight of an output class's first guess.
 PREFIX, STEP, PRIOR = 24, 0.4, 24.0
 GATES, CLASSES = 8, 33
 #: Bytes that are worked on at once: arrays of their decisions should stay in a cache.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 START = np.array([0.15, 0.25, 0.45, 0.4, 0.0], np.float32)
 _ASCII = np.arange(256)
+#: Gate by the last byte: white space, vowel, consonant, capital, digit, punctuation, first and later byte of a longer character.
+_KINDS = np.array(
+    [0 if c <= 32 else 6 if c >= 192 else 7 if c >= 128 else 4 if chr(c).isdigit() else 1 if chr(c) in "aeiou" else 2 if chr(c).islower() else 3 if chr(c).isupper() else 5 for c in _ASCII]
+)
 _LETTER = np.array([chr(c).isalnum() or c >= 128 for c in _ASCII])
 
 
@@ -59,7 +63,6 @@ class Code:
         self.begins = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.places = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x9E3779B1)
         self.bits = np.array([b for p in paths for _, b in p], np.uint8)
-        self.depths = np.minimum(np.concatenate([np.arange(len(p)) for p in paths]), 3).astype(np.uint8)
 
 
 def contexts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -245,20 +248,21 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: np.ndarray
         text = T.texts_of(ends)
         owner = place[text] if len(lengths) > 1 else text
         block = (np.arange(len(part)) - ends[:-1][text] - skip) // BLOCK
-        # all texts' first blocks, then all second ones; longer texts come first, so those that go on are a prefix
+        # all texts' first blocks, then all second ones, each by gate; longer texts come first, so those that go on are a prefix
         unit = block[skip:] * len(lengths) + owner[skip:]
         units, number = np.unique(unit, return_inverse=True)
-        index, path = decisions(part[skip:], code)
-        gates = code.depths[path] + 4 * _LETTER[np.r_[0, part[:-1]][skip:]].astype(np.uint8)[index]
-        key = number[index] * GATES + gates
+        key = number * GATES + _KINDS[np.r_[0, part[:-1]][skip:]]
         order = np.argsort(key.astype(np.uint16 if len(units) * GATES < 1 << 16 else np.int64), kind="stable")
-        index, path, key = index[order], path[order], key[order]
+        key, chosen = key[order], part[skip:][order]
+        index, path = decisions(chosen, code)
         spots, bit = code.places[path], code.bits[path].astype(np.float32)
         x = np.empty((CONTEXTS, len(index)), np.float32)
         for k in range(CONTEXTS):
-            np.multiply(tables[k][cells(known[k][skip:][index], spots, bits)], np.float32(1 / 16), out=x[k])
-        runs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes, key = np.diff(np.r_[runs, len(index)]), key[runs]
+            np.multiply(tables[k][cells(known[k][skip:][order][index], spots, bits)], np.float32(1 / 16), out=x[k])
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key = key[first]
+        runs = np.r_[0, np.cumsum(code.lengths[chosen])][first]
+        sizes = np.diff(np.r_[runs, len(index)])
         rows = units[key // GATES] % len(lengths) * GATES + key % GATES
         step = units[key // GATES] // len(lengths)
         edge = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
