@@ -37,8 +37,7 @@ def op6_shard_by_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, audited against a replica with known damage."""
-    ours = warc.records(read(spark, sf_dir, "pages"))
-    return warc.audit(warc.manifest(ours), warc.manifest(warc.drill(ours)))
+    return warc.audit(*warc.drill(read(spark, sf_dir, "pages")))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,23 +32,50 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
+def _named(pages: DataFrame, pages_per_file: int) -> DataFrame:
+    return pages.select(
+        F.coalesce(F.floor(F.col("page_id") / pages_per_file), F.lit(-1)).cast("long").alias("file_id"),
+        "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
+    )
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    before = Window.partitionBy("file_id").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
 def records(pages: DataFrame, pages_per_file: int = PAGES) -> DataFrame:
-    """(file_id, offset, length, page_id, record): pages in files by page_id, in order of page_id, url and text.
+    """(file_id, offset, length, page_id, record): pages in files by page_id, in order of page_id and digest.
 
     Repeated rows are records of their own. Pages without page_id are in file -1. Only page_id, url and html
     are read; an empty table gives no rows.
     """
-    rows = pages.select(
-        F.coalesce(F.floor(F.col("page_id") / pages_per_file), F.lit(-1)).cast("long").alias("file_id"),
-        "page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
-    ).withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("file_id").orderBy("page_id", "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "page_id", "record")
+    rows = _named(pages, pages_per_file).withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+    return _placed(rows).select("file_id", "offset", "length", "page_id", "record")
+
+
+def manifest(pages: DataFrame, pages_per_file: int = PAGES) -> DataFrame:
+    """(file_id, offset, length, page_id, digest) of records(), the digest being the record's SHA-256.
+
+    Records are hashed where they are read, so only digests are shuffled.
+    """
+    rows = _named(pages, pages_per_file).select("file_id", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    return _placed(rows).select("file_id", "offset", "length", "page_id", "digest")
 
 
-def manifest(rows: DataFrame) -> DataFrame:
-    """(file_id, offset, length, page_id, digest), the digest being the record's SHA-256."""
-    return rows.select("file_id", "offset", "length", "page_id", F.sha2(F.col("record"), 256).alias("digest"))
+def drill(pages: DataFrame, pages_per_file: int = PAGES) -> tuple[DataFrame, DataFrame]:
+    """The manifest of pages and that of a replica with known damage, by the hash of page_id: of 256 records one is altered in its middle, one is lost."""
+    named = _named(pages, pages_per_file)
+    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
+    middle = F.floor(F.length("record") / 2).cast("int")
+    altered = F.concat(F.substring("record", 1, middle), F.lit("\u0000"), F.substring(F.col("record"), middle + 2, F.length("record")))
+    rows = named.select(
+        "file_id", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), mark.alias("mark"),
+        F.when(mark == "00", F.octet_length(altered).cast("long")).alias("their_length"), F.when(mark == "00", F.sha2(altered, 256)).alias("their_digest"),
+    )
+    placed = materialise(_placed(rows), "drill")
+    theirs = placed.where("mark <> '01'").select("file_id", "offset", F.coalesce("their_length", "length").alias("length"), "page_id", F.coalesce("their_digest", "digest").alias("digest"))
+    return placed.select("file_id", "offset", "length", "page_id", "digest"), theirs
 
 
 def tree(leaves: DataFrame, levels: int, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
@@ -113,14 +140,6 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE, fanout:
     )
 
 
-def drill(rows: DataFrame) -> DataFrame:
-    """A replica of records() with known damage, by the hash of page_id: of 256 records one is altered in its middle, one is lost."""
-    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
-    middle = F.floor(F.length("record") / 2).cast("int")
-    altered = F.concat(F.substring("record", 1, middle), F.lit("\u0000"), F.substring(F.col("record"), middle + 2, F.length("record")))
-    return rows.where(mark != "01").withColumn("record", F.when(mark == "00", altered).otherwise(F.col("record")))
-
-
 ORACLE = f"""
 WITH r AS (
   SELECT coalesce(CAST(floor(page_id / {PAGES}) AS BIGINT), -1) AS file_id, page_id,
@@ -131,7 +150,7 @@ WITH r AS (
   FROM pages),
 o AS (
   SELECT *, strlen(record) AS length, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS mark,
-         coalesce(sum(strlen(record)) OVER (PARTITION BY file_id ORDER BY page_id, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+         coalesce(sum(strlen(record)) OVER (PARTITION BY file_id ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM r)
 SELECT file_id, CAST(begins AS BIGINT) AS "offset", page_id, CAST(length AS BIGINT) AS length,
        CASE mark WHEN '00' THEN 'changed' ELSE 'missing' END AS kind, sha256(record) AS our_digest,
