@@ -23,7 +23,7 @@ from . import text as T
 from .common import emit, slices, text_buffers
 
 #: log2 of a context's cells, contexts, folds, bytes after which weights are refined.
-BITS, CONTEXTS, FOLDS, BLOCK = 20, 4, 2, 256
+BITS, CONTEXTS, FOLDS, BLOCK = 20, 4, 2, 512
 #: Bytes of a word that its context holds; step of the mixer; weight of an output class's first guess.
 PREFIX, STEP, PRIOR = 24, 0.4, 24.0
 GATES, CLASSES = 8, 33
@@ -100,11 +100,10 @@ def cells(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
 
 
 def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """For each decision the byte's index and the index into the code's paths."""
+    """How many decisions each byte has, and for each decision the index into the code's paths."""
     lengths = code.lengths[data]
-    index = np.repeat(np.arange(len(data), dtype=np.int32), lengths)
-    shift = code.begins[data] - (np.cumsum(lengths) - lengths)
-    return index, np.arange(len(index), dtype=np.int32) + np.repeat(shift.astype(np.int32), lengths)
+    ends = np.cumsum(lengths)
+    return lengths, np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.begins[data] - (ends - lengths), lengths)
 
 
 def _long(data: np.ndarray, bounds: np.ndarray, most: int = 4 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -142,11 +141,11 @@ def _counter(code: Code, bits: int):
                         if not len(data):
                             continue
                         known = contexts(data, bounds)
-                        index, path = decisions(data[skip:], code)
+                        lengths, path = decisions(data[skip:], code)
                         place, bit = code.places[path], code.bits[path]
                         for k in range(CONTEXTS):
-                            where = cells(known[k][skip:][index], place, bits).astype(np.int64)
-                            np.add.at(table[fold, k], where * 2 + bit, one)
+                            where = cells(np.repeat(known[k][skip:], lengths), place, bits)
+                            np.add.at(table[fold, k], (where << np.uint32(1) | bit).astype(np.intp), one)
         for fold in range(FOLDS):
             for k in range(CONTEXTS):
                 pairs = table[fold, k].reshape(-1, 2)
@@ -254,20 +253,20 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: np.ndarray
         key = number * GATES + _KINDS[np.r_[0, part[:-1]][skip:]]
         order = np.argsort(key.astype(np.uint16 if len(units) * GATES < 1 << 16 else np.int64), kind="stable")
         key, chosen = key[order], part[skip:][order]
-        index, path = decisions(chosen, code)
+        many, path = decisions(chosen, code)
         spots, bit = code.places[path], code.bits[path].astype(np.float32)
-        x = np.empty((CONTEXTS, len(index)), np.float32)
+        x = np.empty((CONTEXTS, len(path)), np.float32)
         for k in range(CONTEXTS):
-            np.multiply(tables[k][cells(known[k][skip:][order][index], spots, bits)], np.float32(1 / 16), out=x[k])
+            np.multiply(tables[k].take(cells(np.repeat(known[k][skip:][order], many), spots, bits).astype(np.intp)), np.float32(1 / 16), out=x[k])
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key = key[first]
-        runs = np.r_[0, np.cumsum(code.lengths[chosen])][first]
-        sizes = np.diff(np.r_[runs, len(index)])
+        runs = np.r_[0, np.cumsum(many)][first]
+        sizes = np.diff(np.r_[runs, len(path)])
         rows = units[key // GATES] % len(lengths) * GATES + key % GATES
         step = units[key // GATES] // len(lengths)
         edge = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
         for a, b in zip(edge, np.r_[edge[1:], len(runs)]):
-            at, to = runs[a], runs[b] if b < len(runs) else len(index)
+            at, to = runs[a], runs[b] if b < len(runs) else len(path)
             reader.read(rows[a:b], sizes[a:b], x[:, at:to], bit[at:to])
     return reader.bits[place]
 
