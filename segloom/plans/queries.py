@@ -623,8 +623,8 @@ def segment_text(spark, sf_dir):
 
 @query()
 def svm_predictions(spark, sf_dir):
-    """Subtrees' labels by two-fold cross-validation."""
+    """The kind of segment that each token stands in, told from its tag and relation by two-fold cross-validation."""
     t = toks(spark, sf_dir)
-    rows = learning.one_hot(dependency.features(t), ["rel", "this_pos", "head_pos"]).join(labels.label_subtrees(_subtrees(t), annotate.gold(t)), ["doc_id", "sent_id", "idx"])
-    rows = rows.select("doc_id", "sent_id", "idx", "names", "label", F.col("length_abs").cast("double"), F.col("punct_count").cast("double"))
-    return learning.cross_validate(rows, ["length_abs", "punct_count"], k=2, iterations=5).groupBy("fold", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    owner = labels.owners(annotate.gold(t)).select("doc_id", "tok_no", "label")
+    rows = learning.one_hot(t, ["rel", "tag"]).join(owner, ["doc_id", "tok_no"]).select("doc_id", "names", "label", F.col("idx").cast("double"))
+    return learning.cross_validate(rows, ["idx"], k=2, iterations=5).groupBy("fold", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
