@@ -15,7 +15,7 @@ def segment_stream(spark: SparkSession, folder: str) -> DataFrame:
 
     A file is one record; sentences are cut at blank lines inside it. doc_id is the hash of the file's name.
     """
-    text = spark.readStream.option("wholetext", True).text(folder)
+    text = spark.readStream.text(folder, wholetext=True)
     cut = F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n\\s*\n")).alias("sent_id", "block")
     sents = text.select(F.xxhash64(F.input_file_name()).alias("doc_id"), "value").select("doc_id", cut)
     line = F.filter(F.split("block", "\n"), lambda x: F.size(F.split(x, "\t")) == len(FIELDS))
