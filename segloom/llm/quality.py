@@ -21,7 +21,7 @@ BUCKETS = 1 << 20
 #: Most labelled rows that a fit reads, those of least hashed doc_id.
 SAMPLE = 20_000
 #: L1 is multiplied by the root of the number of rows: a word has to tell more than the labels' noise does.
-PASSES, ALPHA, BETA, L1, L2 = 2, 1.0, 1.0, 0.5, 0.5
+PASSES, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 0.1, 0.5
 #: Least probability of good quality and greatest of toxicity of a document that is kept.
 GOOD, TOXIC = 0.5, 0.3
 
