@@ -117,6 +117,15 @@ def _long(data: np.ndarray, bounds: np.ndarray, most: int = 4 * CHUNK) -> Iterat
         yield data[low : at + most], np.array([0, min(at + most, len(data)) - low]), at - low
 
 
+def _by_fold(whole: pa.RecordBatch) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of rows of one fold; only a part of the batch is copied at a time."""
+    for part in slices(whole, "text", FOLDS * CHUNK):
+        for fold in range(FOLDS):
+            mine = part.filter(pa.array(part.column("fold").to_numpy() == fold))
+            if mine.num_rows:
+                yield fold, slices(mine, "text", 2 * CHUNK)
+
+
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("byte", pa.int32()), ("n", pa.int64())])
     total = np.zeros(256, np.int64)
@@ -134,9 +143,8 @@ def _counter(code: Code, bits: int):
         table = np.zeros((FOLDS, CONTEXTS, 2 << bits), np.int32)
         one = np.int32(1)
         for whole in batches:
-            for fold in range(FOLDS):
-                mine = whole.filter(pa.array(whole.column("fold").to_numpy() == fold))
-                for batch in slices(mine, "text", CHUNK) if mine.num_rows else ():
+            for fold, runs in _by_fold(whole):
+                for batch in runs:
                     for data, bounds, skip in _long(*text_buffers(batch.column("text"))):
                         if not len(data):
                             continue
@@ -277,9 +285,8 @@ def _scorer(model, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables = model.value
         for whole in batches:
-            for fold in range(FOLDS):
-                mine = whole.filter(pa.array(whole.column("fold").to_numpy() == fold))
-                for batch in slices(mine, "text", CHUNK) if mine.num_rows else ():
+            for fold, runs in _by_fold(whole):
+                for batch in runs:
                     data, bounds = text_buffers(batch.column("text"))
                     total = bits_of(data, bounds, code, tables[(fold + 1) % FOLDS], bits)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(total)], schema=schema)

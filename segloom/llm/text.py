@@ -10,7 +10,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-PIECE = 2 << 20
+#: Bytes hashed at once; larger arrays would leave the caches.
+PIECE = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
