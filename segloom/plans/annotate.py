@@ -92,19 +92,19 @@ tok1 AS (
   SELECT doc_id, sent_id, idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, idx) - 1 AS INT) AS tok_no, form,
          {tag_sql("regexp_matches")} AS tag, CAST(CASE WHEN idx = 1 THEN 0 ELSE idx // 2 END AS INT) AS head
   FROM tok0),
-tok AS (SELECT *, {REL} AS rel FROM tok1),
+tok AS MATERIALIZED (SELECT *, {REL} AS rel FROM tok1),
 whole AS (SELECT doc_id, 0 AS start, CAST(count(*) AS INT) AS len, 'TEXT' AS label, 0 AS depth FROM tok GROUP BY doc_id),
 sents AS (
   SELECT doc_id, sent_id, min(tok_no) AS start, CAST(count(*) AS INT) AS len, min(CASE WHEN tag = '$,' THEN tok_no END) AS comma
   FROM tok GROUP BY doc_id, sent_id),
-gold AS (
+gold AS MATERIALIZED (
   SELECT doc_id, start, len, 'HS' AS label, 1 AS depth FROM sents
   UNION ALL SELECT doc_id, comma + 1, start + len - comma - 1, 'SUB', 2 FROM sents WHERE comma + 1 < start + len
   UNION ALL SELECT * FROM whole),
 chunked AS (
   SELECT *, coalesce(sum(CASE WHEN tag IN ('$.', '$,') THEN 1 ELSE 0 END)
     OVER (PARTITION BY doc_id ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM tok),
-pred AS (
+pred AS MATERIALIZED (
   SELECT doc_id, min(tok_no) AS start, CAST(count(*) AS INT) AS len,
          CASE WHEN min_by(tag, tok_no) IN ('KOUS', 'KON', 'PRELS') THEN 'SUB' ELSE 'HS' END AS label, 1 AS depth
   FROM chunked GROUP BY doc_id, chunk
