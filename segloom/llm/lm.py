@@ -6,13 +6,14 @@ counts over the corpus predict the bit. A mixer adds the predictions in the logi
 that a gate (the kind of the last byte) selects, and a last stage refines its output by what
 came of like outputs before. Weights and refinement start alike in every document and are learned online
 as it is read, a block of bytes at a time. The counts come from the other fold of documents, never from
-the scored one.
+the scored one; they are gathered by 31-bit cells, and each context's table is made as large as what it
+was found to hold.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import emit, slices, text_buffers
-
-#: log2 of a context's cells, contexts, folds, bytes after which weights are refined.
-BITS, CONTEXTS, FOLDS, BLOCK = 20, 4, 2, 512
+from .common import emit, materialise, slices, starts_of, text_buffers, whole_groups
+
+#: log2 of a context's cells at least, contexts, folds, bytes after which weights are refined.
+BITS, CONTEXTS, FOLDS, BLOCK = 21, 4, 2, 512
+#: log2 of the cells that counts are gathered by, cells of a table for each that holds counts, and counts a task holds for a context.
+WIDE, SPARE, HELD = 31, 4, 1 << 21
+#: Bytes of text for each part that the counts of a context are divided into.
+PART = 8 << 20
 #: Bytes of a word that its context holds; step of the mixer; weight of an output class's first guess.
 PREFIX, STEP, PRIOR = 24, 0.4, 24.0
 GATES, CLASSES = 8, 33
@@ -135,13 +140,45 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(schema, np.flatnonzero(total), total[total > 0])
 
 
-def _counter(code: Code, bits: int):
-    """Arrow function: (fold, text) to the counts of zeros and ones in the cells of each fold and context."""
-    schema = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("zeros", pa.int64()), ("ones", pa.int64())])
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, with the sum of its counts; both 32 bits."""
+    both = np.sort(keys.astype(np.uint64) << np.uint64(32) | counts)
+    keys = (both >> np.uint64(32)).astype(np.uint32)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(both & np.uint64(0xFFFFFFFF), first).astype(np.uint32)
+
+
+def _squeeze(sorted_: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted numbers and counts that belong to them as bytes; most differences and counts are small."""
+    columns = np.stack([np.diff(sorted_.astype(np.uint64), prepend=np.uint64(0)), *(c.astype(np.uint64) for c in counts)])
+    return pa.Codec("zstd", 1).compress(columns.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), asbytes=True)
+
+
+def _spread(squeezed: bytes, n: int, columns: int) -> np.ndarray:
+    """What _squeeze() was given, a row each."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(squeezed, n * columns * 8), np.uint8)
+    found = np.ascontiguousarray(raw.reshape(columns, 8, n).transpose(0, 2, 1)).view(np.uint64).reshape(columns, n).copy()
+    np.cumsum(found[0], out=found[0])
+    return found
+
+
+def _counter(code: Code, part_bits: int):
+    """Arrow function: (fold, text) to counts of the decisions, in parts of a kind (fold and context) by the first bits of their cells.
+
+    A decision is a cell of WIDE bits and a bit. What a task holds is bounded: a decision may come more than once.
+    """
+    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+
+    def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(WIDE + 1 - part_bits))
+        for part, (at, to) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)])):
+            if at < to:
+                own = keys[at:to] & np.uint32((1 << WIDE + 1 - part_bits) - 1)
+                yield emit(schema, [kind << part_bits | part], [to - at], [_squeeze(own, counts[at:to])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((FOLDS, CONTEXTS, 2 << bits), np.int32)
-        one = np.int32(1)
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS * CONTEXTS)]
+        many = np.zeros(len(held), np.int64)
         for whole in batches:
             for fold, runs in _by_fold(whole):
                 for batch in runs:
@@ -152,58 +189,84 @@ def _counter(code: Code, bits: int):
                         lengths, path = decisions(data[skip:], code)
                         place, bit = code.places[path], code.bits[path]
                         for k in range(CONTEXTS):
-                            where = cells(np.repeat(known[k][skip:], lengths), place, bits)
-                            np.add.at(table[fold, k], (where << np.uint32(1) | bit).astype(np.intp), one)
-        for fold in range(FOLDS):
-            for k in range(CONTEXTS):
-                pairs = table[fold, k].reshape(-1, 2)
-                some = np.flatnonzero(pairs.any(1))
-                for at in range(0, len(some), 1 << 18):
-                    own = some[at : at + (1 << 18)]
-                    yield emit(schema, np.full(len(own), fold * CONTEXTS + k), own, pairs[own, 0], pairs[own, 1])
+                            keys = cells(np.repeat(known[k][skip:], lengths), place, WIDE) << np.uint32(1) | bit
+                            keys.sort()
+                            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                            kind = fold * CONTEXTS + k
+                            held[kind].append((keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)))
+                            many[kind] += len(first)
+                            if many[kind] > HELD:
+                                held[kind] = [_added(*map(np.concatenate, zip(*held[kind])))]
+                                many[kind] = len(held[kind][0][0])
+                                if many[kind] > HELD // 2:
+                                    yield from rows(kind, *held[kind].pop())
+                                    many[kind] = 0
+        for kind, parts in enumerate(held):
+            if parts:
+                yield from rows(kind, *_added(*map(np.concatenate, zip(*parts))))
 
     return run
 
 
-def _pack(part_bits: int):
-    """Arrow function over (kind, part, cell, q) sorted: the predictions of each part of a table as bytes."""
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (part, n, counts) sorted by part: each part's cells, with their zeros and ones."""
+    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+    for table in whole_groups(batches, "part"):
+        part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
+        squeezed = table.column("counts")
+        first = starts_of(part)
+        for at, to in zip(first, np.r_[first[1:], len(part)]):
+            keys, counts = np.concatenate([_spread(squeezed[i].as_py(), int(n[i]), 2) for i in range(at, to)], axis=1)
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            cell = keys >> np.uint64(1)
+            begin = starts_of(cell)
+            ones = np.add.reduceat(counts * (keys & np.uint64(1)), begin)
+            zeros = np.add.reduceat(counts, begin) - ones
+            yield emit(schema, [part[at]], [len(begin)], [_squeeze(cell[begin], zeros, ones)])
+
+
+def _pack(sizes: list[int], part_bits: int):
+    """Arrow function: the sums of each part to its predictions, a byte for each cell; sizes: log2 of each kind's cells."""
+    schema = pa.schema([("part", pa.int64()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            kind, part, cell, q = (batch.column(c).to_numpy() for c in ("kind", "part", "cell", "q"))
-            for at, to in zip(s := np.flatnonzero(np.r_[True, (np.diff(kind) != 0) | (np.diff(part) != 0)]) if len(kind) else [], np.r_[s[1:], len(kind)] if len(kind) else []):
-                row = open_.setdefault((int(kind[at]), int(part[at])), np.zeros(1 << part_bits, np.int8))
-                row[cell[at:to] & ((1 << part_bits) - 1)] = q[at:to]
-        for (k, p), row in open_.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([row.tobytes()])], schema=schema)
+            for part, n, squeezed in zip(*(batch.column(c) for c in ("part", "n", "counts"))):
+                own = sizes[part.as_py() >> part_bits]
+                cell, zeros, ones = _spread(squeezed.as_py(), n.as_py(), 3)
+                cell = (cell >> np.uint64(WIDE - own)).astype(np.int64)
+                z, o = (np.bincount(cell, c, 1 << own - part_bits) for c in (zeros, ones))
+                q = np.clip(np.rint(np.log((o + 0.4) / (z + 0.4)) * 16), -127, 127).astype(np.int8)
+                yield emit(schema, [part.as_py()], [q.tobytes()])
 
     return run
 
 
-def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, np.ndarray]:
+def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, list[list[np.ndarray]]]:
     """The code, and for each fold and context the logit of every cell in sixteenths, from all documents of that fold.
 
-    docs: fold and text. The tables have a size that `bits` sets; it is what the driver and every task hold.
+    docs: fold and text. A context's tables have at least 2**bits cells, and at least SPARE for each that the counts
+    of a fold fill, so they grow with the corpus; they are what the driver and every task of score() hold.
     """
     found = docs.select("text").mapInArrow(_histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(256, np.int64)
     for r in found:
         counts[r[0]] = r[1]
     code = Code(counts)
-    counted = docs.select("fold", "text").mapInArrow(_counter(code, bits), "kind int, cell int, zeros long, ones long")
-    sums = counted.groupBy("kind", "cell").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"))
-    logit = F.log((F.col("o") + 0.4) / (F.col("z") + 0.4))
-    part_bits = min(16, bits)
-    q = sums.select(
-        "kind", F.shiftright("cell", part_bits).alias("part"), "cell", F.greatest(F.lit(-127), F.least(F.lit(127), F.round(logit * 16))).cast("byte").alias("q")
-    )
-    q = q.repartition("kind", "part").sortWithinPartitions("kind", "part")
-    tables = np.zeros((FOLDS * CONTEXTS, 1 << bits), np.int8)
-    for r in q.mapInArrow(_pack(part_bits), "kind int, part int, cells binary").toLocalIterator():
-        tables[r[0], r[1] << part_bits : (r[1] + 1) << part_bits] = np.frombuffer(r[2], np.int8)
-    return code, tables.reshape(FOLDS, CONTEXTS, -1)
+    part_bits = min(bits, max(3, (int(counts.sum()) // PART).bit_length()))
+    kind = "part long, n long, counts binary"
+    counted = docs.select("fold", "text").mapInArrow(_counter(code, part_bits), kind)
+    sums = materialise(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_sums, kind), "counts")
+    sizes = [bits] * (FOLDS * CONTEXTS)
+    for k, n in sums.groupBy(F.shiftright("part", part_bits)).agg(F.sum("n")).collect():
+        for same in range(k % CONTEXTS, len(sizes), CONTEXTS):
+            sizes[same] = min(WIDE, max(sizes[same], (SPARE * n - 1).bit_length()))
+    tables = [np.zeros(1 << b, np.int8) for b in sizes]
+    for r in sums.mapInArrow(_pack(sizes, part_bits), "part long, cells binary").toLocalIterator():
+        own = tables[r[0] >> part_bits].reshape(1 << part_bits, -1)
+        own[r[0] & ((1 << part_bits) - 1)] = np.frombuffer(r[1], np.int8)
+    return code, [tables[fold * CONTEXTS : (fold + 1) * CONTEXTS] for fold in range(FOLDS)]
 
 
 class Reader:
@@ -241,8 +304,9 @@ class Reader:
         counts += np.bincount(kind * 2 + bit.astype(np.int64), minlength=len(counts))
 
 
-def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: np.ndarray, bits: int) -> np.ndarray:
-    """Total bits of each text, by one fold's tables."""
+def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[np.ndarray], bits: int | Sequence[int]) -> np.ndarray:
+    """Total bits of each text, by one fold's tables; bits: log2 of their cells, of all or of each."""
+    logs = [int(b) for b in np.broadcast_to(bits, CONTEXTS)]
     lengths = np.diff(bounds)
     rank = np.argsort(-lengths, kind="stable")
     place = np.empty_like(rank)
@@ -265,7 +329,7 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: np.ndarray
         spots, bit = code.places[path], code.bits[path].astype(np.float32)
         x = np.empty((CONTEXTS, len(path)), np.float32)
         for k in range(CONTEXTS):
-            np.multiply(tables[k].take(cells(np.repeat(known[k][skip:][order], many), spots, bits).astype(np.intp)), np.float32(1 / 16), out=x[k])
+            np.multiply(tables[k].take(cells(np.repeat(known[k][skip:][order], many), spots, logs[k]).astype(np.intp)), np.float32(1 / 16), out=x[k])
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key = key[first]
         runs = np.r_[0, np.cumsum(many)][first]
@@ -279,11 +343,12 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: np.ndarray
     return reader.bits[place]
 
 
-def _scorer(model, bits: int):
+def _scorer(model):
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables = model.value
+        bits = [len(t).bit_length() - 1 for t in tables[0]]
         for whole in batches:
             for fold, runs in _by_fold(whole):
                 for batch in runs:
@@ -305,5 +370,5 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, bits))
-    scored = rows.mapInArrow(_scorer(model, bits), "doc_id long, n_bytes long, bits double")
+    scored = rows.mapInArrow(_scorer(model), "doc_id long, n_bytes long, bits double")
     return scored.select("doc_id", "n_bytes", F.round("bits", 1).alias("bits"), F.round(F.try_divide("bits", "n_bytes"), 4).alias("bits_per_byte"))

@@ -421,3 +421,40 @@ def test_scores_tell_known_text_from_noise(spark, messy, nothing):
     by = {r.doc_id: r for r in out.collect()}
     assert out.count() == messy.count() and by[5].bits_per_byte is None and by[6].n_bytes == 0 and by[9].n_bytes > 200_000
     assert lm.score(nothing, bits=12).count() == 0
+
+
+def test_tables_grow_with_what_the_corpus_holds(spark):
+    docs = [(i % 2, prose(i, 60)) for i in range(300)]
+    code, tables = lm.fit(spark.createDataFrame(docs, "fold int, text string").repartition(3), bits=8)
+    for fold in range(lm.FOLDS):
+        seen = [defaultdict(lambda: [0, 0]) for _ in range(lm.CONTEXTS)]
+        for f, t in docs:
+            if f != fold:
+                continue
+            arr = np.frombuffer(t.encode(), np.uint8)
+            lengths, path = lm.decisions(arr, code)
+            for k, c in enumerate(lm.contexts(arr, np.array([0, len(arr)]))):
+                for cell, bit in zip(lm.cells(np.repeat(c, lengths), code.places[path], lm.WIDE).tolist(), code.bits[path].tolist()):
+                    seen[k][cell][bit] += 1
+        for k, table in enumerate(tables[fold]):
+            assert len(table) >= max(1 << 8, lm.SPARE * len(seen[k]))
+            small = defaultdict(lambda: [0, 0])
+            for cell, (z, o) in seen[k].items():
+                own = small[cell >> (lm.WIDE - len(table).bit_length() + 1)]
+                own[0] += z
+                own[1] += o
+            assert np.count_nonzero(table) <= len(small)
+            assert all(table[c] == np.clip(np.rint(np.log((o + 0.4) / (z + 0.4)) * 16), -127, 127) for c, (z, o) in small.items())
+
+
+def test_counts_stay_whole_when_a_task_holds_little(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"fold": pa.array([k % 2 for k in range(60)], pa.int32()), "text": [prose(k % 40, 30) for k in range(60)]})
+    code = lm.Code(np.arange(256))
+
+    def sums():
+        parts = sorted((b for b in lm._counter(code, 3)(iter([batch, batch]))), key=lambda b: b.column("part")[0].as_py())
+        return [(b.column("part")[0].as_py(), lm._spread(b.column("counts")[0].as_py(), b.column("n")[0].as_py(), 3).tolist()) for b in lm._sums(iter(parts))]
+
+    whole = sums()
+    monkeypatch.setattr(lm, "HELD", 50)
+    assert sums() == whole
