@@ -24,7 +24,9 @@ from . import text as T
 from .common import emit, materialise, slices, starts_of, text_buffers, whole_groups
 
 #: log2 of a context's cells at least, contexts, folds, bytes after which weights are refined.
-BITS, CONTEXTS, FOLDS, BLOCK = 21, 4, 2, 512
+BITS, CONTEXTS, FOLDS, BLOCK = 21, 4, 2, 64
+#: Bytes of a text that are read by such blocks, and the longer blocks of the rest; multiples of BLOCK.
+EARLY, LATER = 1024, 256
 #: log2 of the cells that counts are gathered by, cells of a table for each that holds counts, and counts a task holds for a context.
 WIDE, SPARE, HELD = 31, 4, 1 << 21
 #: Bytes of text for each part that the counts of a context are divided into.
@@ -304,6 +306,11 @@ class Reader:
         counts += np.bincount(kind * 2 + bit.astype(np.int64), minlength=len(counts))
 
 
+def blocks(at: np.ndarray) -> np.ndarray:
+    """The block of each byte, by its place in its text."""
+    return np.where(at < EARLY, at // BLOCK, EARLY // BLOCK + (at - EARLY) // LATER)
+
+
 def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[np.ndarray], bits: int | Sequence[int]) -> np.ndarray:
     """Total bits of each text, by one fold's tables; bits: log2 of their cells, of all or of each."""
     logs = [int(b) for b in np.broadcast_to(bits, CONTEXTS)]
@@ -312,13 +319,16 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[n
     place = np.empty_like(rank)
     place[rank] = np.arange(len(rank))
     reader = Reader(len(lengths))
+    before = 0
     for part, ends, skip in _long(data, bounds):
         if len(part) <= skip:
             continue
         known = contexts(part, ends)
         text = T.texts_of(ends)
         owner = place[text] if len(lengths) > 1 else text
-        block = (np.arange(len(part)) - ends[:-1][text] - skip) // BLOCK
+        # only a text that is alone comes in several pieces
+        block = blocks(np.arange(len(part)) - ends[:-1][text] - skip + before)
+        before += len(part) - skip
         # all texts' first blocks, then all second ones, each by gate; longer texts come first, so those that go on are a prefix
         unit = block[skip:] * len(lengths) + owner[skip:]
         units, number = np.unique(unit, return_inverse=True)

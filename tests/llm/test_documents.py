@@ -458,3 +458,13 @@ def test_counts_stay_whole_when_a_task_holds_little(monkeypatch):
     whole = sums()
     monkeypatch.setattr(lm, "HELD", 50)
     assert sums() == whole
+
+
+def test_short_texts_learn():
+    """The second half of 200 bytes is cheaper than by the first weights alone."""
+    arr = np.frombuffer(b"ab" * 100, np.uint8)
+    code = lm.Code(np.bincount(arr, minlength=256))
+    tables = np.zeros((lm.CONTEXTS, 1 << 8), np.int8)
+    half, whole = (lm.bits_of(arr[:n], np.array([0, n]), code, tables, 8)[0] for n in (lm.BLOCK, 200))
+    assert whole != pytest.approx(half * 200 / lm.BLOCK, rel=0.01)
+    assert list(lm.blocks(np.array([0, lm.BLOCK, lm.EARLY - 1, lm.EARLY, lm.EARLY + lm.LATER]))) == [0, 1, lm.EARLY // lm.BLOCK - 1, lm.EARLY // lm.BLOCK, lm.EARLY // lm.BLOCK + 1]
