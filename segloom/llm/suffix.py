@@ -4,7 +4,8 @@ Only suffixes at minimiser positions are kept: the least hashed run of SEED word
 LEAST words, so any repeat of LEAST words has the same suffixes in each of its copies. Suffixes whose
 first SEED words occur in several texts are sorted with their words, neighbours are compared, and the
 match is extended to the right and to the left; each anchor answers for the windows of LEAST words
-around it, and overlapping answers are joined to whole passages.
+around it. Of each window the least document that holds it is kept; windows are joined to whole passages,
+and within them to parts of one first document.
 """
 
 from __future__ import annotations
@@ -124,24 +125,22 @@ def _run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def matches(seed, h, doc, place, ahead, behind, least: int):
     """(row, from, to, least doc_id) of what repeats around each suffix in another text; rows are sorted.
 
-    Neighbours in the sorted array are compared first. That settles pairs, and rows with all their words
-    repeated. In larger groups a longer match to the left may be with a text that isn't a neighbour: there
-    the suffixes that begin at every word up to the first that this anchor answers for are sorted in turn.
+    Neighbours in the sorted array are compared first. That settles pairs. In larger groups a longer match to
+    the left, or the least document, may be in a text that isn't a neighbour: there the suffixes that begin at
+    every word up to the first that this anchor answers for are sorted in turn.
     """
     n, back = len(seed), behind.shape[1]
-    near = np.flatnonzero((seed[1:] == seed[:-1]) & (h[1:] != h[:-1]))
+    begin = starts_of(seed)
+    sizes = np.diff(np.r_[begin, n])
+    near = begin[sizes == 2]
+    near = near[h[near] != h[near + 1]]
     right, left = _run(ahead[near], ahead[near + 1]), _run(behind[near], behind[near + 1])
     far = right + left >= least
     near, right, left = near[far], right[far], left[far]
     first = np.minimum(doc[near], doc[near + 1])
     found = [(near + k, place[near + k] - left, place[near + k] + right, first) for k in (0, 1)]
 
-    whole = np.zeros(n, bool)
-    whole[np.r_[near, near + 1][np.tile((right == least) & (left == back), 2)]] = True
-    begin = starts_of(seed)
-    sizes = np.diff(np.r_[begin, n])
-    open_ = (sizes > 2) & ~np.logical_and.reduceat(whole, begin)
-    rows = np.flatnonzero(np.repeat(open_, sizes))
+    rows = np.flatnonzero(np.repeat(sizes > 2, sizes))
     if len(rows):
         words = np.concatenate([behind[rows][:, ::-1], ahead[rows]], axis=1).astype(np.uint64)
         group, own, ids = np.repeat(np.arange(len(begin)), sizes)[rows], h[rows], doc[rows]
@@ -175,8 +174,7 @@ def _compare(least: int, seed: int):
             row, start, end, first = matches(*columns, ahead, behind, least)
             if len(row):
                 h = columns[1][row]
-                order = np.lexsort((end, start, h))
-                yield emit(schema, *merge(h[order], start[order], end[order], first[order]))
+                yield emit(schema, *settle(h, start, end, first, least))
 
     return run
 
@@ -191,19 +189,47 @@ def merge(h: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray):
     return h[new], start[new], np.maximum.reduceat(end, new), np.minimum.reduceat(first, new)
 
 
-def _merge_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("first", pa.int64())])
-    for table in whole_groups(batches, "h"):
-        yield emit(schema, *merge(*(table.column(c).to_numpy() for c in schema.names)))
+def settle(h: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, least: int):
+    """Each window of `least` words in the stretches with the least of its firsts, joined to stretches of one first; sorted."""
+    many = end - start - least + 1
+    at = np.repeat(start - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+    h, first = np.repeat(h, many), np.repeat(first, many)
+    order = np.lexsort((first, at, h))
+    h, at, first = h[order], at[order], first[order]
+    one = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1])])
+    h, at, first = h[one], at[one], first[one]
+    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (first[1:] != first[:-1])])
+    last = np.r_[new[1:], len(h)] - 1
+    return h[new], at[new], at[last] + least, first[new]
+
+
+def _merge_stream(least: int):
+    """Arrow function over (h, from, to, first) sorted by h: passages with their parts."""
+    part = pa.struct([("from_word", pa.int64()), ("to_word", pa.int64()), ("first_doc_id", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("from", pa.int64()), ("to", pa.int64()), ("first", pa.int64()), ("parts", pa.list_(part))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "h"):
+            h, start, end, first = settle(*(table.column(c).to_numpy() for c in schema.names[:4]), least)
+            passages = merge(h, start, end, first)
+            # a passage's first part begins where it does
+            begins = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (start[1:] > end[:-1])])
+            parts = pa.StructArray.from_arrays([pa.array(c) for c in (start, end, first)], fields=list(part))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(h)], pa.int32()), parts)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in passages), lists], schema=schema)
+
+    return run
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """(doc_id, from_word, to_word, n_words, first_doc_id, is_first) of passages of at least `least` words that other texts hold too.
+    """(doc_id, from_word, to_word, n_words, first_doc_id, is_first, parts) of passages of at least `least` words that other texts hold too.
 
     Words are split at ASCII white space and have to be equal byte for byte. Every window of `least` words
     that occurs in another document's text is in a passage, and no other word is. to_word is exclusive;
-    first_doc_id is the least doc_id that is known to hold a part of it, is_first whether that is this
-    document, so the copies to cut are those with not is_first. What repeats only within one document isn't
+    first_doc_id is the least doc_id that holds a window of it, is_first whether that is this document. parts
+    has (from_word, to_word, first_doc_id, is_first) of each run of windows that the same document holds first;
+    parts overlap by up to `least` - 1 words. To cut copies, keep the words of parts with is_first and cut the
+    passage's others: every window then stays in its first document. What repeats only within one document isn't
     reported. Documents with equal texts repeat each other from end to end. Rows repeated with the same
     doc_id and text count once; a doc_id with several texts counts as several documents. Rows whose doc_id
     or text is null are left out, and texts of fewer words have no passages.
@@ -222,17 +248,14 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     around = around.repartition("seed").sortWithinPartitions("seed", "ahead", "behind", "h", "place")
     kind = "h long, `from` long, `to` long, first long"
     parts = around.mapInArrow(_compare(least, seed), kind)
-    passages = parts.repartition("h").sortWithinPartitions("h", "from", "to").mapInArrow(_merge_stream, kind)
-
+    # a copied text is repeated from end to end; windows that others share with it may have an earlier first document
     copied = one.where((F.col("n") > 1) & (F.col("words") >= least)).select(
-        "h", F.lit(0).cast("long").alias("from"), F.col("words").alias("to"), F.col("doc_id").alias("first")
+        "h", F.lit(0).cast("long").alias("from"), F.col("words").cast("long").alias("to"), F.col("doc_id").alias("first")
     )
-    passages = materialise(passages, "passages")
-    # a copied text is one passage; what others share with it may have an earlier first document
-    earlier = passages.groupBy("h").agg(F.min("first").alias("other"))
-    copied = copied.join(earlier, "h", "left").select("h", "from", "to", F.least("first", F.coalesce("other", "first")).alias("first"))
-    all_passages = passages.join(copied.select("h"), "h", "left_anti").unionByName(copied)
-    return members.join(all_passages, "h").select(
+    stretches = parts.unionByName(copied).repartition("h").sortWithinPartitions("h", "from", "to")
+    passages = stretches.mapInArrow(_merge_stream(least), f"{kind}, parts array<struct<from_word:long,to_word:long,first_doc_id:long>>")
+    return members.join(passages, "h").select(
         "doc_id", F.col("from").alias("from_word"), F.col("to").alias("to_word"), (F.col("to") - F.col("from")).alias("n_words"),
         F.col("first").alias("first_doc_id"), (F.col("doc_id") == F.col("first")).alias("is_first"),
+        F.transform("parts", lambda p: p.withField("is_first", p["first_doc_id"] == F.col("doc_id"))).alias("parts"),
     )

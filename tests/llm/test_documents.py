@@ -159,6 +159,28 @@ def test_passages_messy(messy, nothing):
     assert suffix.repeats(nothing).count() == 0
 
 
+def test_every_repeated_window_has_its_least_document(spark):
+    """Passages of two first documents, copied texts with an earlier document's passage, and groups of near copies."""
+    r = random.Random(5)
+    p, q, boiler = prose(201, 15), prose(202, 15), prose(203, 14)
+    body = prose(204, 60) + " " + boiler + " " + prose(205, 60)
+    docs = [(5, f"{p} {q}"), (2, f"{p} {prose(206, 5)}"), (9, f"{prose(207, 5)} {q}"), (1, boiler), (11, body), (12, body), (13, body + " end")]
+    stock = [prose(r.random(), r.randint(8, 40)) for _ in range(6)]
+    docs += [(20 + i, " ".join(r.choice(stock) if r.random() < 0.7 else prose(r.random(), 9) for _ in range(r.randint(1, 6)))) for i in range(40)]
+    least, holders = 12, defaultdict(set)
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - least + 1):
+            holders[tuple(w[k : k + least])].add(i)
+    want = {(i, k): min(holders[tuple(w[k : k + least])]) for i, t in docs for w in [t.split()] for k in range(len(w) - least + 1) if len(holders[tuple(w[k : k + least])]) > 1}
+    found = suffix.repeats(spark.createDataFrame(docs, "doc_id long, text string"), least=least, seed=4).collect()
+    got = [((x.doc_id, k), y.first_doc_id, y.is_first) for x in found for y in x.parts for k in range(y.from_word, y.to_word - least + 1)]
+    assert len(got) == len(want) and {k: f for k, f, _ in got} == want
+    assert all(mine == (k[0] == f) for k, f, mine in got)
+    for x in found:
+        assert (min(y.from_word for y in x.parts), max(y.to_word for y in x.parts), min(y.first_doc_id for y in x.parts)) == (x.from_word, x.to_word, x.first_doc_id)
+
+
 # contamination
 
 
