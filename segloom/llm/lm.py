@@ -4,10 +4,15 @@ Bytes are read as the decisions of a Huffman code of the corpus, bit by bit. Eac
 last one, two and three bytes, and the word so far) is hashed with the place in the code to a cell, whose
 counts over the corpus predict the bit. A mixer adds the predictions in the logistic domain, with weights
 that a gate (the kind of the last byte) selects, and a last stage refines its output by what
-came of like outputs before. Weights and refinement start alike in every document and are learned online
-as it is read, a block of bytes at a time. The counts come from the other fold of documents, never from
-the scored one; they are gathered by 31-bit cells, and each context's table is made as large as what it
-was found to hold.
+came of like outputs before. The counts are frozen while a text is read; weights and refinement start alike
+in every text and are learned online, a block of bytes at a time.
+
+What is rarer than such contexts is told by long ones. At content-selected places the last AHEAD bytes are
+a context of the stretch up to the next such place, and a decision says whether the stretch is one that
+another row has there. Its predictors (how many rows have the context, how such decisions went in this text)
+are mixed in the same way; a stretch that is known costs what picks it among those that others have, and its
+bytes cost nothing more. The long contexts are counted exactly, over all rows, in written tables that are
+joined, so they grow with the corpus; a row's own occurrences are taken out before it is scored.
 """
 
 from __future__ import annotations
@@ -17,25 +22,31 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as T
 from .common import emit, materialise, slices, starts_of, text_buffers, whole_groups
 
-#: log2 of a context's cells at least, contexts, folds, bytes after which weights are refined.
-BITS, CONTEXTS, FOLDS, BLOCK = 21, 4, 2, 64
+#: log2 of a context's cells at least and at most, contexts, folds, bytes after which weights are refined.
+BITS, MOST, CONTEXTS, FOLDS, BLOCK = 21, 24, 4, 2, 64
 #: Bytes of a text that are read by such blocks, and the longer blocks of the rest; multiples of BLOCK.
 EARLY, LATER = 1024, 256
-#: log2 of the cells that counts are gathered by, cells of a table for each that holds counts, and counts a task holds for a context.
-WIDE, SPARE, HELD = 31, 4, 1 << 21
-#: Bytes of text for each part that the counts of a context are divided into.
-PART = 8 << 20
+#: log2 of the words' hashes that counts are gathered by, cells of a table for each that holds counts, and counts a task holds of a kind.
+WIDE, SPARE, HELD = 28, 4, 1 << 21
+#: log2 of the parts that the counts of a kind are divided into: with all 2**WIDE words and 2**24 times three bytes, one has a few hundred MB.
+PARTS = 8
 #: Bytes of a word that its context holds; step of the mixer; weight of an output class's first guess.
-PREFIX, STEP, PRIOR = 24, 0.4, 24.0
+PREFIX, STEP, PRIOR = 64, 0.4, 24.0
 GATES, CLASSES = 8, 33
+#: Bytes of a long context, one place in how many has one, and bytes of a stretch at most.
+AHEAD, EVERY, STRETCH = 24, 64, 256
 #: Bytes that are worked on at once: arrays of their decisions should stay in a cache.
 CHUNK = 1 << 18
+#: Predictions are held in sixteenths, and so are the weights' first values.
+UNIT = np.float32(1 / 16)
 START = np.array([0.15, 0.25, 0.45, 0.4, 0.0], np.float32)
 _ASCII = np.arange(256)
 #: Gate by the last byte: white space, vowel, consonant, capital, digit, punctuation, first and later byte of a longer character.
@@ -43,6 +54,7 @@ _KINDS = np.array(
     [0 if c <= 32 else 6 if c >= 192 else 7 if c >= 128 else 4 if chr(c).isdigit() else 1 if chr(c) in "aeiou" else 2 if chr(c).islower() else 3 if chr(c).isupper() else 5 for c in _ASCII]
 )
 _LETTER = np.array([chr(c).isalnum() or c >= 128 for c in _ASCII])
+_SALTS = (0x1B873593, 0x52DCE729, 0x38495AB5, 0x6C078965)
 
 
 class Code:
@@ -68,42 +80,54 @@ class Code:
             paths.append(path[::-1])
         self.lengths = np.array([len(p) for p in paths])
         self.begins = np.r_[0, np.cumsum(self.lengths)[:-1]]
-        self.places = np.array([n for p in paths for n, _ in p], np.uint32) * np.uint32(0x9E3779B1)
+        self.nodes = np.array([n for p in paths for n, _ in p])
+        self.places = _hash32(self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)).astype(np.int64)
         self.bits = np.array([b for p in paths for _, b in p], np.uint8)
 
 
-def contexts(data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """For each byte the hashes of its contexts, none of which reaches over the text's begin."""
+def _hash32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32 bits."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def _sums_of(data: np.ndarray) -> np.ndarray:
+    """Of each place the hash of all bytes before it, from which that of any stretch is taken."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(T.BYTE_CODES[data] * T.powers(len(data)), out=total[1:])
+    return total
+
+
+def contexts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte the last three bytes, the last one lowest, and the hash of the word so far; neither reaches over the text's begin."""
     n = len(data)
     begin = np.zeros(n, np.int64)
     inner = bounds[:-1][np.diff(bounds) > 0]
     begin[inner] = inner
     begin = np.maximum.accumulate(begin)
     since = np.arange(n) - begin
-    last = []
+    three = np.zeros(n, np.uint32)
     for k in (1, 2, 3):
-        x = np.zeros(n, np.uint32)
-        x[k:] = data[:-k] if k < n else data[:0]
-        x[since < k] = 0
-        last.append(x)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(T.BYTE_CODES[data] * T.powers(n), out=total[1:])
+        if k < n:
+            three[k:] |= np.where(since[k:] < k, 0, data[:-k]).astype(np.uint32) << np.uint32(8 * (k - 1))
+    total = _sums_of(data)
     other = np.zeros(n, np.int64)
     other[1:] = np.where(_LETTER[data[:-1]], 0, np.arange(1, n))
     word = np.maximum(np.maximum(np.maximum.accumulate(other), begin), np.arange(n) - PREFIX)
     prefix = T.mix((total[:-1] - total[word]) * T.powers(n, T.INVERSE)[word])
-    two = last[0] | last[1] << np.uint32(8)
-    three = two | last[2] << np.uint32(16)
-    words = (prefix >> np.uint64(32)).astype(np.uint32) ^ last[0] * np.uint32(0x01000193)
-    salts = (0x1B873593, 0x52DCE729, 0x38495AB5, 0x6C078965)
-    return [(c + np.uint32(s)) * np.uint32(0xCC9E2D51) for c, s in zip((last[0], two, three, words), salts)]
+    return three, ((prefix >> np.uint64(32)).astype(np.uint32) ^ (three & np.uint32(255)) * np.uint32(0x01000193)) >> np.uint32(32 - WIDE)
+
+
+def hashed(three: np.ndarray, word: np.ndarray) -> list[np.ndarray]:
+    """The CONTEXTS hashes of 32 bits: one, two and three bytes, and the word."""
+    known = (three & np.uint32(0xFF), three & np.uint32(0xFFFF), three, word)
+    return [_hash32(c + np.uint32(s)).astype(np.int64) for c, s in zip(known, _SALTS)]
 
 
 def cells(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
-    x = context ^ place
-    x ^= x >> np.uint32(15)
-    x *= np.uint32(0x85EBCA6B)
-    return x >> np.uint32(32 - bits)
+    """The cell of a context's hash and a place in the code; those of a smaller table are the last bits of a larger one's."""
+    return (context + place) & ((1 << bits) - 1)
 
 
 def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
@@ -124,30 +148,29 @@ def _long(data: np.ndarray, bounds: np.ndarray, most: int = 4 * CHUNK) -> Iterat
         yield data[low : at + most], np.array([0, min(at + most, len(data)) - low]), at - low
 
 
-def _by_fold(whole: pa.RecordBatch) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
-    """Runs of rows of one fold; only a part of the batch is copied at a time."""
-    for part in slices(whole, "text", FOLDS * CHUNK):
-        for fold in range(FOLDS):
-            mine = part.filter(pa.array(part.column("fold").to_numpy() == fold))
-            if mine.num_rows:
-                yield fold, slices(mine, "text", 2 * CHUNK)
+def _by_fold(whole: pa.RecordBatch, most: int) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """Runs of rows of one fold by their length, as texts of like length are read together; only a part of the batch is copied at a time."""
+    for part in slices(whole, "text", 1 << 23):
+        fold, lengths = part.column("fold").to_numpy(), np.diff(text_buffers(part.column("text"))[1])
+        order = np.lexsort((lengths, fold))
+        cuts = np.searchsorted(fold[order], np.arange(FOLDS + 1))
+        for k in range(FOLDS):
+            if cuts[k] < cuts[k + 1]:
+                yield k, slices(part.take(pa.array(order[cuts[k] : cuts[k + 1]])), "text", most)
 
 
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("byte", pa.int32()), ("n", pa.int64())])
-    total = np.zeros(256, np.int64)
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            total += np.bincount(text_buffers(batch.column("text"))[0], minlength=256)
-    yield emit(schema, np.flatnonzero(total), total[total > 0])
+# Counts of the short contexts
+
+_COUNTS = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+_COUNTS_DDL = "part long, n long, counts binary"
 
 
-def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each key once, sorted, with the sum of its counts; both 32 bits."""
-    both = np.sort(keys.astype(np.uint64) << np.uint64(32) | counts)
-    keys = (both >> np.uint64(32)).astype(np.uint32)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(both & np.uint64(0xFFFFFFFF), first).astype(np.uint32)
+def _added(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, sorted, with the sums of its counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = starts_of(keys)
+    return keys[first], *(np.add.reduceat(c[order], first) for c in counts)
 
 
 def _squeeze(sorted_: np.ndarray, *counts: np.ndarray) -> bytes:
@@ -164,81 +187,111 @@ def _spread(squeezed: bytes, n: int, columns: int) -> np.ndarray:
     return found
 
 
-def _counter(code: Code, part_bits: int):
-    """Arrow function: (fold, text) to counts of the decisions, in parts of a kind (fold and context) by the first bits of their cells.
+def _parted(kind: int, part: np.ndarray, bits: int, keys: np.ndarray, *counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their counts in rows, one for each part that has some."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = starts_of(part)
+    for at, to in zip(first, np.r_[first[1:], len(part)]):
+        own = order[at:to]
+        yield emit(_COUNTS, [kind << bits | int(part[at])], [to - at], [_squeeze(keys[own], *(c[own] for c in counts))])
 
-    A decision is a cell of WIDE bits and a bit. What a task holds is bounded: a decision may come more than once.
+
+def _of_part(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Over (part, n, counts) sorted by part: each part, and its keys with their sums."""
+    for table in whole_groups(batches, "part"):
+        part, n, squeezed = table.column("part").to_numpy(), table.column("n").to_numpy(), table.column("counts")
+        first = starts_of(part)
+        for at, to in zip(first, np.r_[first[1:], len(part)]):
+            yield int(part[at]), _added(*np.concatenate([_spread(squeezed[i].as_py(), int(n[i]), columns) for i in range(at, to)], axis=1))
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fold, text) to how often each byte follows three bytes, and the word so far.
+
+    A kind is a fold, and bytes or words; its contexts are divided into parts by their hash. What a task holds is
+    bounded: a pair of context and byte may come more than once.
     """
-    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(2 * FOLDS)]
+    many = [0] * len(held)
 
     def rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(WIDE + 1 - part_bits))
-        for part, (at, to) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)])):
-            if at < to:
-                own = keys[at:to] & np.uint32((1 << WIDE + 1 - part_bits) - 1)
-                yield emit(schema, [kind << part_bits | part], [to - at], [_squeeze(own, counts[at:to])])
+        part = _hash32((keys >> np.uint64(8)).astype(np.uint32)) >> np.uint32(32 - PARTS)
+        yield from _parted(kind, part.astype(np.int64), PARTS, keys, counts)
+
+    for whole in batches:
+        for fold, runs in _by_fold(whole, 2 * CHUNK):
+            for batch in runs:
+                for data, bounds, skip in _long(*text_buffers(batch.column("text"))):
+                    if len(data) <= skip:
+                        continue
+                    three, word = contexts(data, bounds)
+                    byte = data[skip:]
+                    for which, keys in enumerate((three[skip:] << np.uint32(8) | byte, word[skip:].astype(np.uint64) << np.uint64(8) | byte)):
+                        keys.sort()
+                        first = starts_of(keys)
+                        kind = fold * 2 + which
+                        held[kind].append((keys[first].astype(np.uint64), np.diff(np.r_[first, len(keys)]).astype(np.uint64)))
+                        many[kind] += len(first)
+                        if many[kind] > HELD:
+                            held[kind] = [_added(*map(np.concatenate, zip(*held[kind])))]
+                            many[kind] = len(held[kind][0][0])
+                            if many[kind] > HELD // 2:
+                                yield from rows(kind, *held[kind].pop())
+                                many[kind] = 0
+    for kind, parts in enumerate(held):
+        if parts:
+            yield from rows(kind, *_added(*map(np.concatenate, zip(*parts))))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, (keys, counts) in _of_part(batches, 2):
+        yield emit(_COUNTS, [part], [len(keys)], [_squeeze(keys, counts)])
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte occurs, from what follows three bytes."""
+    schema = pa.schema([("byte", pa.int32()), ("n", pa.int64())])
+    total = np.zeros(256, np.int64)
+    for part, (keys, counts) in _of_part(batches, 2):
+        if not part >> PARTS & 1:
+            total += np.bincount((keys & np.uint64(255)).astype(np.int64), counts, 256).astype(np.int64)
+    yield emit(schema, np.flatnonzero(total), total[total > 0])
+
+
+def _by_cell(code: Code):
+    """Arrow function: how often bytes follow contexts to the zeros and ones of cells, in parts of a kind (fold and context) by their cells' last bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS * CONTEXTS)]
-        many = np.zeros(len(held), np.int64)
-        for whole in batches:
-            for fold, runs in _by_fold(whole):
-                for batch in runs:
-                    for data, bounds, skip in _long(*text_buffers(batch.column("text"))):
-                        if not len(data):
-                            continue
-                        known = contexts(data, bounds)
-                        lengths, path = decisions(data[skip:], code)
-                        place, bit = code.places[path], code.bits[path]
-                        for k in range(CONTEXTS):
-                            keys = cells(np.repeat(known[k][skip:], lengths), place, WIDE) << np.uint32(1) | bit
-                            keys.sort()
-                            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                            kind = fold * CONTEXTS + k
-                            held[kind].append((keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)))
-                            many[kind] += len(first)
-                            if many[kind] > HELD:
-                                held[kind] = [_added(*map(np.concatenate, zip(*held[kind])))]
-                                many[kind] = len(held[kind][0][0])
-                                if many[kind] > HELD // 2:
-                                    yield from rows(kind, *held[kind].pop())
-                                    many[kind] = 0
-        for kind, parts in enumerate(held):
-            if parts:
-                yield from rows(kind, *_added(*map(np.concatenate, zip(*parts))))
+        for part, (keys, counts) in _of_part(batches, 2):
+            fold, words = divmod(part >> PARTS, 2)
+            byte, known = (keys & np.uint64(255)).astype(np.uint8), (keys >> np.uint64(8)).astype(np.uint32)
+            lengths, path = decisions(byte, code)
+            many, ones = np.repeat(counts, lengths), code.bits[path].astype(np.uint64)
+            for k in (CONTEXTS - 1,) if words else range(CONTEXTS - 1):
+                cell = cells(np.repeat(hashed(known, known)[k], lengths), code.places[path], 32)
+                found = _added(cell, many * (1 - ones), many * ones)
+                yield from _parted(fold * CONTEXTS + k, found[0] & ((1 << PARTS) - 1), PARTS, *found)
 
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (part, n, counts) sorted by part: each part's cells, with their zeros and ones."""
-    schema = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
-    for table in whole_groups(batches, "part"):
-        part, n = table.column("part").to_numpy(), table.column("n").to_numpy()
-        squeezed = table.column("counts")
-        first = starts_of(part)
-        for at, to in zip(first, np.r_[first[1:], len(part)]):
-            keys, counts = np.concatenate([_spread(squeezed[i].as_py(), int(n[i]), 2) for i in range(at, to)], axis=1)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            cell = keys >> np.uint64(1)
-            begin = starts_of(cell)
-            ones = np.add.reduceat(counts * (keys & np.uint64(1)), begin)
-            zeros = np.add.reduceat(counts, begin) - ones
-            yield emit(schema, [part[at]], [len(begin)], [_squeeze(cell[begin], zeros, ones)])
-
-
-def _pack(sizes: list[int], part_bits: int):
-    """Arrow function: the sums of each part to its predictions, a byte for each cell; sizes: log2 of each kind's cells."""
+def _cells_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, (keys, zeros, ones) in _of_part(batches, 3):
+        yield emit(_COUNTS, [part], [len(keys)], [_squeeze(keys, zeros, ones)])
+
+
+def _pack(sizes: list[int]):
+    """Arrow function: the counts of each part to its predictions, a byte for each cell; sizes: log2 of each kind's cells."""
     schema = pa.schema([("part", pa.int64()), ("cells", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, n, squeezed in zip(*(batch.column(c) for c in ("part", "n", "counts"))):
-                own = sizes[part.as_py() >> part_bits]
+                own = sizes[part.as_py() >> PARTS]
                 cell, zeros, ones = _spread(squeezed.as_py(), n.as_py(), 3)
-                cell = (cell >> np.uint64(WIDE - own)).astype(np.int64)
-                z, o = (np.bincount(cell, c, 1 << own - part_bits) for c in (zeros, ones))
+                cell = ((cell & np.uint64((1 << own) - 1)) >> np.uint64(PARTS)).astype(np.int64)
+                z, o = (np.bincount(cell, c, 1 << own - PARTS) for c in (zeros, ones))
                 q = np.clip(np.rint(np.log((o + 0.4) / (z + 0.4)) * 16), -127, 127).astype(np.int8)
                 yield emit(schema, [part.as_py()], [q.tobytes()])
 
@@ -246,64 +299,76 @@ def _pack(sizes: list[int], part_bits: int):
 
 
 def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, list[list[np.ndarray]]]:
-    """The code, and for each fold and context the logit of every cell in sixteenths, from all documents of that fold.
+    """The code, and for each fold and short context the logit of every cell in sixteenths, from all documents of that fold.
 
-    docs: fold and text. A context's tables have at least 2**bits cells, and at least SPARE for each that the counts
-    of a fold fill, so they grow with the corpus; they are what the driver and every task of score() hold.
+    docs: fold and text. A context's tables have at least 2**bits cells, SPARE for each that the counts of a fold
+    fill, and at most 2**MOST, where cells are shared by more and more contexts; so driver and tasks hold at most
+    FOLDS * CONTEXTS * 2**MOST bytes (128 MB). What is counted is gathered in parts, and never all in one place.
     """
-    found = docs.select("text").mapInArrow(_histogram, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select("fold", "text").mapInArrow(_counter, _COUNTS_DDL)
+    follows = materialise(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_merged, _COUNTS_DDL), "follows")
     counts = np.zeros(256, np.int64)
-    for r in found:
+    for r in follows.mapInArrow(_histogram, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect():
         counts[r[0]] = r[1]
     code = Code(counts)
-    part_bits = min(bits, max(3, (int(counts.sum()) // PART).bit_length()))
-    kind = "part long, n long, counts binary"
-    counted = docs.select("fold", "text").mapInArrow(_counter(code, part_bits), kind)
-    sums = materialise(counted.repartition("part").sortWithinPartitions("part").mapInArrow(_sums, kind), "counts")
+    sums = follows.mapInArrow(_by_cell(code), _COUNTS_DDL).repartition("part").sortWithinPartitions("part").mapInArrow(_cells_merged, _COUNTS_DDL)
+    sums = materialise(sums, "counts")
     sizes = [bits] * (FOLDS * CONTEXTS)
-    for k, n in sums.groupBy(F.shiftright("part", part_bits)).agg(F.sum("n")).collect():
+    for k, n in sums.groupBy(F.shiftright("part", PARTS)).agg(F.sum("n")).collect():
         for same in range(k % CONTEXTS, len(sizes), CONTEXTS):
-            sizes[same] = min(WIDE, max(sizes[same], (SPARE * n - 1).bit_length()))
+            sizes[same] = max(bits, min(MOST, max(sizes[same], (SPARE * n - 1).bit_length())))
     tables = [np.zeros(1 << b, np.int8) for b in sizes]
-    for r in sums.mapInArrow(_pack(sizes, part_bits), "part long, cells binary").toLocalIterator():
-        own = tables[r[0] >> part_bits].reshape(1 << part_bits, -1)
-        own[r[0] & ((1 << part_bits) - 1)] = np.frombuffer(r[1], np.int8)
+    for r in sums.mapInArrow(_pack(sizes), "part long, cells binary").toLocalIterator():
+        tables[r[0] >> PARTS].reshape(-1, 1 << PARTS)[:, r[0] & ((1 << PARTS) - 1)] = np.frombuffer(r[1], np.int8)
     return code, [tables[fold * CONTEXTS : (fold + 1) * CONTEXTS] for fold in range(FOLDS)]
 
 
+# Mixing
+
+
 class Reader:
-    """State of the mixer and the refinement for some texts, and their bits so far."""
+    """State of the mixer and the refinement for some texts."""
 
     def __init__(self, n: int):
-        self.weights = np.tile(START[:, None], n * GATES)
+        first = START.copy()
+        first[:CONTEXTS] *= UNIT
+        self.weights = np.tile(first[:, None], n * GATES)
         centre = 1 / (1 + np.exp(-(np.arange(CLASSES) - CLASSES // 2) / 2.0))
         self.counts = np.tile(np.stack([(1 - centre) * PRIOR, centre * PRIOR], 1).ravel(), n)
-        self.bits = np.zeros(n)
 
-    def read(self, rows: np.ndarray, sizes: np.ndarray, x: np.ndarray, bit: np.ndarray) -> None:
-        """A block of some texts: rows (text and gate) and sizes of the runs of decisions, x (contexts x decisions)."""
+    def read(self, rows: np.ndarray, sizes: np.ndarray, x: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The chance given to each decision in a block of some texts: rows (text and gate) and sizes of the runs of decisions, x (contexts x decisions) in sixteenths."""
         starts = np.cumsum(sizes) - sizes
         w = self.weights[:, rows]
         z = np.repeat(w[CONTEXTS], sizes)
         for k in range(CONTEXTS):
             z += np.repeat(w[k], sizes) * x[k]
         np.clip(z, -8, 8, out=z)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
         text = rows // GATES
         n = int(text.max()) + 1
         counts = self.counts[: n * CLASSES * 2]
         chance = (counts[1::2] / (counts[::2] + counts[1::2])).astype(np.float32)
-        kind = np.rint(z * 2).astype(np.int64) + np.repeat(text * CLASSES + CLASSES // 2, sizes)
-        refined = (p + chance[kind]) * np.float32(0.5)
+        z *= 2
+        kind = np.rint(z, out=z).astype(np.intp)
+        kind += np.repeat(text * CLASSES + CLASSES // 2, sizes)
+        refined = chance.take(kind, mode="clip")
+        refined += p
+        refined *= np.float32(0.5)
         np.clip(refined, 1 / 4096, 1 - 1 / 4096, out=refined)
-        cost = -np.log2(np.abs(refined - (1 - bit)))
-        self.bits[:n] += np.bincount(text, np.add.reduceat(cost, starts, dtype=np.float64), n)
-        miss = bit - p
+        refined -= 1 - bit
+        miss = np.subtract(bit, p, out=p)
         step = np.float32(STEP) / sizes.astype(np.float32)
+        self.weights[CONTEXTS, rows] += step * np.add.reduceat(miss, starts)
+        step *= UNIT * UNIT
         for k in range(CONTEXTS):
             self.weights[k, rows] += step * np.add.reduceat(miss * x[k], starts)
-        self.weights[CONTEXTS, rows] += step * np.add.reduceat(miss, starts)
-        counts += np.bincount(kind * 2 + bit.astype(np.int64), minlength=len(counts))
+        kind *= 2
+        kind += bit > 0
+        counts += np.bincount(kind, minlength=len(counts))
+        return np.abs(refined, out=refined)
 
 
 def blocks(at: np.ndarray) -> np.ndarray:
@@ -312,73 +377,194 @@ def blocks(at: np.ndarray) -> np.ndarray:
 
 
 def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[np.ndarray], bits: int | Sequence[int]) -> np.ndarray:
-    """Total bits of each text, by one fold's tables; bits: log2 of their cells, of all or of each."""
+    """Bits of each byte of some texts, by one fold's tables; bits: log2 of their cells, of all or of each."""
     logs = [int(b) for b in np.broadcast_to(bits, CONTEXTS)]
     lengths = np.diff(bounds)
     rank = np.argsort(-lengths, kind="stable")
     place = np.empty_like(rank)
     place[rank] = np.arange(len(rank))
     reader = Reader(len(lengths))
-    before = 0
+    before, out = 0, np.zeros(len(data), np.float32)
     for part, ends, skip in _long(data, bounds):
         if len(part) <= skip:
             continue
-        known = contexts(part, ends)
-        text = T.texts_of(ends)
-        owner = place[text] if len(lengths) > 1 else text
-        # only a text that is alone comes in several pieces
-        block = blocks(np.arange(len(part)) - ends[:-1][text] - skip + before)
-        before += len(part) - skip
+        three, word = (c[skip:] for c in contexts(part, ends))
+        known = hashed(three, word)
+        text = T.texts_of(ends)[skip:]
+        block = blocks(np.arange(skip, len(part)) - ends[:-1][text] - skip + before)
         # all texts' first blocks, then all second ones, each by gate; longer texts come first, so those that go on are a prefix
-        unit = block[skip:] * len(lengths) + owner[skip:]
-        units, number = np.unique(unit, return_inverse=True)
-        key = number * GATES + _KINDS[np.r_[0, part[:-1]][skip:]]
-        order = np.argsort(key.astype(np.uint16 if len(units) * GATES < 1 << 16 else np.int64), kind="stable")
+        if len(lengths) > 1:
+            going = np.bincount(blocks(np.maximum(lengths, 1) - 1))[::-1].cumsum()[::-1]
+            owner = np.arange(going.sum()) - np.repeat(np.cumsum(going) - going, going)
+            number = (np.cumsum(going) - going)[block] + place[text]
+        else:
+            # only a text that is alone comes in several pieces
+            going = np.ones(int(block[-1] - block[0]) + 1, np.int64)
+            owner, number = np.zeros(len(going), np.int64), block - block[0]
+        key = number * GATES + _KINDS[three & np.uint32(255)]
+        order = np.argsort(key.astype(np.uint16 if len(owner) * GATES < 1 << 16 else np.int64), kind="stable")
         key, chosen = key[order], part[skip:][order]
         many, path = decisions(chosen, code)
-        spots, bit = code.places[path], code.bits[path].astype(np.float32)
+        spots, bit = code.places.take(path, mode="clip"), code.bits.take(path, mode="clip").astype(np.float32)
         x = np.empty((CONTEXTS, len(path)), np.float32)
         for k in range(CONTEXTS):
-            np.multiply(tables[k].take(cells(np.repeat(known[k][skip:][order], many), spots, logs[k]).astype(np.intp)), np.float32(1 / 16), out=x[k])
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            at = np.repeat(known[k][order], many)
+            at += spots
+            at &= (1 << logs[k]) - 1
+            x[k] = tables[k].take(at, mode="clip")
+        first = starts_of(key)
         key = key[first]
-        runs = np.r_[0, np.cumsum(many)][first]
+        begins = np.cumsum(many) - many
+        runs = begins[first]
         sizes = np.diff(np.r_[runs, len(path)])
-        rows = units[key // GATES] % len(lengths) * GATES + key % GATES
-        step = units[key // GATES] // len(lengths)
-        edge = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+        rows = owner[key // GATES] * GATES + key % GATES
+        edge = starts_of(np.repeat(np.arange(len(going)), going)[key // GATES])
+        chances = []
         for a, b in zip(edge, np.r_[edge[1:], len(runs)]):
             at, to = runs[a], runs[b] if b < len(runs) else len(path)
-            reader.read(rows[a:b], sizes[a:b], x[:, at:to], bit[at:to])
-    return reader.bits[place]
+            chances.append(reader.read(rows[a:b], sizes[a:b], x[:, at:to], bit[at:to]))
+        own = np.empty(len(order), np.float32)
+        own[order] = -np.log2(np.multiply.reduceat(np.concatenate(chances), begins, dtype=np.float64))
+        out[before : before + len(own)] = own
+        before += len(own)
+    return out
+
 
+# Long contexts
 
-def _scorer(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
+
+def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, from, to, context, stretch) of the places that have a long context: the hash of the AHEAD bytes before, and that with what follows.
+
+    A place is taken if the hash says so, one in EVERY is; but not if the place before it has the same context, as
+    in runs of one byte. The stretch goes on to the next place or the text's end, for STRETCH bytes at most.
+    """
+    found = []
+    size = 1 << 20
+    for at in range(0, len(data), size):
+        low, high = max(0, at - AHEAD), min(len(data), at + size + STRETCH)
+        if high - low <= AHEAD:
+            continue
+        part = data[low:high]
+        total = _sums_of(part)
+        back = T.powers(len(part), T.INVERSE)
+        before = (total[AHEAD:-1] - total[: -AHEAD - 1]) * back[: len(part) - AHEAD]
+        place = np.flatnonzero(before * np.uint64(0x9E3779B97F4A7C15) < np.uint64((1 << 64) // EVERY))
+        place = place[(place == 0) | (before[place] != before[place - 1])]
+        known = T.mix(before[place])
+        place = place + AHEAD
+        text = np.searchsorted(bounds, place + low, side="right") - 1
+        fits = place + low - AHEAD >= bounds[text]
+        place, known, text = place[fits], known[fits], text[fits]
+        if not len(place):
+            continue
+        end = np.minimum(np.minimum(np.r_[place[1:], len(part)], bounds[text + 1] - low), place + STRETCH)
+        # a place in the part's last STRETCH bytes is the next part's, and so is one in its first ones that this part has for context
+        mine = (place + low >= at) & (place + low < at + size)
+        place, end, known, text = place[mine], end[mine], known[mine], text[mine]
+        follows = T.mix((total[end] - total[place]) * back[place]) + (end - place).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        found.append((text, place + low, end + low, known, T.mix(known ^ T.mix(follows))))
+    if not found:
+        return *(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _repeated(text: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """How often each occurs in its text."""
+    order = np.lexsort((what, text))
+    first = np.flatnonzero(np.r_[True, (np.diff(text[order]) != 0) | (np.diff(what[order]) != 0)]) if len(order) else order
+    out = np.empty(len(order), np.int32)
+    out[order] = np.repeat(np.diff(np.r_[first, len(order)]), np.diff(np.r_[first, len(order)]))
+    return out
+
+
+_LONG = pa.struct([("context", pa.int64()), ("stretch", pa.int64()), ("own_context", pa.int32()), ("own_stretch", pa.int32()), ("bits", pa.float32())])
+_LONG_DDL = "array<struct<context:long,stretch:long,own_context:int,own_stretch:int,bits:float>>"
+
+
+def _scorer(model, id_type: pa.DataType):
+    """Arrow function: each row's bits by the short contexts, and its long contexts with the bits that their stretches take so."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", id_type), ("n_bytes", pa.int64()), ("bits", pa.float64()), ("long", pa.list_(_LONG))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables = model.value
         bits = [len(t).bit_length() - 1 for t in tables[0]]
+        task = TaskContext.get()
+        row = (task.partitionId() if task else 0) << 36
         for whole in batches:
-            for fold, runs in _by_fold(whole):
+            for fold, runs in _by_fold(whole, CHUNK):
                 for batch in runs:
                     data, bounds = text_buffers(batch.column("text"))
-                    total = bits_of(data, bounds, code, tables[(fold + 1) % FOLDS], bits)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(total)], schema=schema)
+                    sums = np.zeros(len(data) + 1)
+                    np.cumsum(bits_of(data, bounds, code, tables[(fold + 1) % FOLDS], bits), out=sums[1:], dtype=np.float64)
+                    text, start, end, known, stretch = stretches(data, bounds)
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()),
+                        pa.StructArray.from_arrays(
+                            [pa.array(known.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(_repeated(text, known)), pa.array(_repeated(text, stretch)), pa.array((sums[end] - sums[start]).astype(np.float32))],
+                            fields=list(_LONG),
+                        ),
+                    )
+                    total = sums[bounds[1:]] - sums[bounds[:-1]]
+                    rows = pa.array(np.arange(row, row + batch.num_rows))
+                    row += batch.num_rows
+                    yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id").cast(id_type), pa.array(np.diff(bounds)), pa.array(total), lists], schema=schema)
 
     return run
 
 
+#: Weights of a long context's decision (rows that have it, how such decisions went in the text, and a first guess by the last one: none, known, unknown).
+ROWS, WENT, GUESS = 0.4, 0.6, np.array([0.5, 2.5, -1.0])
+
+
+def known_bits(row: np.ndarray, others: np.ndarray, same: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bits of each long context's decision and stretch, in order of rows and places: others that have the context, and that have the stretch too."""
+    hit = same > 0
+    first = starts_of(row)
+    sizes = np.diff(np.r_[first, len(row)])
+    hits = np.cumsum(hit) - hit
+    hits -= np.repeat(hits[first], sizes)
+    misses = np.arange(len(row)) - np.repeat(first, sizes) - hits
+    last = np.where(np.r_[False, hit[:-1]], 1, 2)
+    last[first] = 0
+    z = ROWS * np.log((others + 0.4) / 0.6) + WENT * np.log((hits + 0.5) / (misses + 0.5)) + GUESS[last]
+    p = 1 / (1 + np.exp(-np.clip(z, -8, 8)))
+    return np.where(hit, -np.log2(p) - np.log2(np.maximum(same, 1) / others), bits - np.log2(1 - p))
+
+
+def _saved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over (row, at, others, same, bits) sorted by row and at: each row's change of bits by its long contexts."""
+    schema = pa.schema([("row", pa.int64()), ("change", pa.float64())])
+    for table in whole_groups(batches, "row"):
+        row, others, same, bits = (table.column(c).to_numpy() for c in ("row", "others", "same", "bits"))
+        first = starts_of(row)
+        yield emit(schema, row[first], np.add.reduceat(known_bits(row, others, same, bits.astype(float)) - bits, first))
+
+
 def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(doc_id, n_bytes, bits, bits_per_byte) for every row of docs.
 
-    The predictions of a document's bytes come from counts over all documents of the other fold; the fold is a
-    hash of the text, so copies never predict each other. Null and empty texts have 0 bytes, 0 bits and a
-    null bits_per_byte; results are rounded, as sums of 32-bit floats depend on how rows are batched in their
-    eighth digit. Repeated rows and null doc_ids are each scored. Only doc_id and text are read. An
-    empty table gives no rows.
+    The short contexts of a row's bytes are predicted by counts over all rows of the other of two folds; the fold is a
+    hash of doc_id and text. The long contexts are counted over all rows but itself, so a text that another row holds
+    too takes few bits. Rows repeated with the same doc_id and text are rows like any others: they tell each other.
+    Null and empty texts have 0 bytes, 0 bits and a null bits_per_byte; results are rounded, as sums of 32-bit floats
+    depend on how rows are batched in their eighth digit. doc_id may be of any type, and null. Only doc_id and
+    text are read. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)).cast("int").alias("fold"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, bits))
-    scored = rows.mapInArrow(_scorer(model), "doc_id long, n_bytes long, bits double")
-    return scored.select("doc_id", "n_bytes", F.round("bits", 1).alias("bits"), F.round(F.try_divide("bits", "n_bytes"), 4).alias("bits_per_byte"))
+    kind = docs.schema["doc_id"].dataType
+    scored = rows.mapInArrow(_scorer(model, to_arrow_type(kind)), f"row long, doc_id {kind.simpleString()}, n_bytes long, bits double, long {_LONG_DDL}")
+    scored = materialise(scored, "scored")
+    model.destroy()
+    long = scored.select("row", F.posexplode("long").alias("at", "l")).select("row", "at", "l.*")
+    contexts_ = long.groupBy("context").agg(F.count(F.lit(1)).alias("have_context")).where("have_context > 1")
+    stretches_ = long.groupBy("context", "stretch").agg(F.count(F.lit(1)).alias("have_stretch")).where("have_stretch > 1")
+    shared = long.join(contexts_, "context").where("have_context > own_context").join(stretches_, ["context", "stretch"], "left")
+    shared = shared.select(
+        "row", "at", (F.col("have_context") - F.col("own_context")).alias("others"),
+        F.coalesce(F.col("have_stretch") - F.col("own_stretch"), F.lit(0)).cast("long").alias("same"), "bits",
+    )
+    saved = shared.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_saved, "row long, change double")
+    out = scored.select("row", "doc_id", "n_bytes", "bits").join(saved, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("change", F.lit(0.0)))
+    return out.select("doc_id", "n_bytes", F.round("bits", 1).alias("bits"), F.round(F.try_divide("bits", "n_bytes"), 4).alias("bits_per_byte"))

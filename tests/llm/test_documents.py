@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from segloom.llm import decontam, lm, minhash, mixing, quality, sharding, suffix
+from segloom.llm import decontam, minhash, mixing, quality, sharding, suffix
 from segloom.llm import text as T
 from segloom.llm.common import slices, text_buffers, whole_groups
 
@@ -383,110 +383,3 @@ def test_scores_are_sparse_dot_products(spark):
     for k in range(4):
         assert got[k] == pytest.approx(1 / (1 + np.exp(-(w[0] + w[list(sets[k] - {0})].sum()))))
     assert len(sets[0] & sets[1]) >= 3
-
-
-# scores
-
-
-def test_bits_match_a_plain_mixer():
-    """One text, decision by decision, in plain Python."""
-    data = (prose(7, 150) + " Ü\n").encode()
-    arr = np.frombuffer(data, np.uint8)
-    code = lm.Code(np.bincount(arr, minlength=256))
-    bits = 12
-    r = np.random.default_rng(0)
-    tables = r.integers(-100, 100, (lm.CONTEXTS, 1 << bits)).astype(np.int8)
-    got = lm.bits_of(arr, np.array([0, len(arr)]), code, tables, bits)[0]
-    known = lm.contexts(arr, np.array([0, len(arr)]))
-    weights = np.tile(lm.START.astype(float), (lm.GATES, 1))
-    centre = 1 / (1 + np.exp(-(np.arange(lm.CLASSES) - 16) / 2))
-    ones, seen = centre * lm.PRIOR, np.full(lm.CLASSES, lm.PRIOR)
-    total = 0.0
-    for at in range(0, len(arr), lm.BLOCK):
-        grads, kinds = defaultdict(list), []
-        for i in range(at, min(at + lm.BLOCK, len(arr))):
-            gate = lm._KINDS[arr[i - 1] if i else 0]
-            for j in range(code.begins[arr[i]], code.begins[arr[i]] + code.lengths[arr[i]]):
-                place = code.places[j : j + 1]
-                x = np.array([tables[k][lm.cells(known[k][i : i + 1], place, bits)[0]] / 16 for k in range(lm.CONTEXTS)] + [1.0])
-                z = np.clip(weights[gate] @ x, -8, 8)
-                p, bit, kind = 1 / (1 + np.exp(-z)), code.bits[j], int(np.rint(z * 2)) + 16
-                q = np.clip((p + ones[kind] / seen[kind]) / 2, 1 / 4096, 1 - 1 / 4096)
-                total -= np.log2(q if bit else 1 - q)
-                grads[gate].append((bit - p) * x)
-                kinds.append((kind, bit))
-        for gate, g in grads.items():
-            weights[gate] += lm.STEP * np.mean(g, 0)
-        for kind, bit in kinds:
-            seen[kind] += 1
-            ones[kind] += bit
-    assert got == pytest.approx(total, rel=1e-3)
-
-
-def test_long_texts_score_as_in_one_piece(monkeypatch):
-    data = np.frombuffer(prose(8, 900).encode(), np.uint8)
-    code = lm.Code(np.bincount(data, minlength=256))
-    tables = np.random.default_rng(1).integers(-80, 80, (lm.CONTEXTS, 1 << 12)).astype(np.int8)
-    args = (data, np.array([0, len(data)]), code, tables, 12)
-    whole = lm.bits_of(*args)
-    pieces = lm._long
-    monkeypatch.setattr(lm, "_long", lambda d, b: pieces(d, b, lm.BLOCK * 4))
-    assert lm.bits_of(*args) == pytest.approx(whole, rel=1e-4)
-
-
-def test_scores_tell_known_text_from_noise(spark, messy, nothing):
-    r = random.Random(2)
-    docs = [(i, prose(i, 80)) for i in range(200)] + [(1000, "".join(chr(r.randint(33, 126)) for _ in range(500)))]
-    got = {x.doc_id: x.bits_per_byte for x in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), bits=14).collect()}
-    assert max(v for k, v in got.items() if k < 1000) < 3.5 < got[1000]
-    out = lm.score(messy, bits=12)
-    by = {r.doc_id: r for r in out.collect()}
-    assert out.count() == messy.count() and by[5].bits_per_byte is None and by[6].n_bytes == 0 and by[9].n_bytes > 200_000
-    assert lm.score(nothing, bits=12).count() == 0
-
-
-def test_tables_grow_with_what_the_corpus_holds(spark):
-    docs = [(i % 2, prose(i, 60)) for i in range(300)]
-    code, tables = lm.fit(spark.createDataFrame(docs, "fold int, text string").repartition(3), bits=8)
-    for fold in range(lm.FOLDS):
-        seen = [defaultdict(lambda: [0, 0]) for _ in range(lm.CONTEXTS)]
-        for f, t in docs:
-            if f != fold:
-                continue
-            arr = np.frombuffer(t.encode(), np.uint8)
-            lengths, path = lm.decisions(arr, code)
-            for k, c in enumerate(lm.contexts(arr, np.array([0, len(arr)]))):
-                for cell, bit in zip(lm.cells(np.repeat(c, lengths), code.places[path], lm.WIDE).tolist(), code.bits[path].tolist()):
-                    seen[k][cell][bit] += 1
-        for k, table in enumerate(tables[fold]):
-            assert len(table) >= max(1 << 8, lm.SPARE * len(seen[k]))
-            small = defaultdict(lambda: [0, 0])
-            for cell, (z, o) in seen[k].items():
-                own = small[cell >> (lm.WIDE - len(table).bit_length() + 1)]
-                own[0] += z
-                own[1] += o
-            assert np.count_nonzero(table) <= len(small)
-            assert all(table[c] == np.clip(np.rint(np.log((o + 0.4) / (z + 0.4)) * 16), -127, 127) for c, (z, o) in small.items())
-
-
-def test_counts_stay_whole_when_a_task_holds_little(monkeypatch):
-    batch = pa.RecordBatch.from_pydict({"fold": pa.array([k % 2 for k in range(60)], pa.int32()), "text": [prose(k % 40, 30) for k in range(60)]})
-    code = lm.Code(np.arange(256))
-
-    def sums():
-        parts = sorted((b for b in lm._counter(code, 3)(iter([batch, batch]))), key=lambda b: b.column("part")[0].as_py())
-        return [(b.column("part")[0].as_py(), lm._spread(b.column("counts")[0].as_py(), b.column("n")[0].as_py(), 3).tolist()) for b in lm._sums(iter(parts))]
-
-    whole = sums()
-    monkeypatch.setattr(lm, "HELD", 50)
-    assert sums() == whole
-
-
-def test_short_texts_learn():
-    """The second half of 200 bytes is cheaper than by the first weights alone."""
-    arr = np.frombuffer(b"ab" * 100, np.uint8)
-    code = lm.Code(np.bincount(arr, minlength=256))
-    tables = np.zeros((lm.CONTEXTS, 1 << 8), np.int8)
-    half, whole = (lm.bits_of(arr[:n], np.array([0, n]), code, tables, 8)[0] for n in (lm.BLOCK, 200))
-    assert whole != pytest.approx(half * 200 / lm.BLOCK, rel=0.01)
-    assert list(lm.blocks(np.array([0, lm.BLOCK, lm.EARLY - 1, lm.EARLY, lm.EARLY + lm.LATER]))) == [0, 1, lm.EARLY // lm.BLOCK - 1, lm.EARLY // lm.BLOCK, lm.EARLY // lm.BLOCK + 1]
