@@ -37,13 +37,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by turn (nulls first), then role, then text; repeated rows are each kept, so they merge
     as neighbours. Roles are trimmed and lower-cased, a null or blank one is "unknown"; a null text is empty;
-    the marker that opens a role is broken up inside texts, so that no text can pretend to be a turn. Rows
-    whose conv_id is null form one conversation of their own. Only conv_id, turn, role and text are read.
+    the marker that opens a role is broken up inside texts, and what marks or ends a role is replaced by "_" inside
+    roles, so that neither can pretend to be a turn. Rows whose conv_id is null form one conversation of their own. Only conv_id, turn, role and text are read.
     """
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     turn = F.struct(
         F.col("turn").alias("turn"),
-        F.when(role == "", "unknown").otherwise(role).alias("role"),
+        F.when(role == "", "unknown").otherwise(F.regexp_replace(role, "[<|>\\r\\n]", "_")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit(OPEN), F.lit("< |")).alias("text"),
     )
     chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
@@ -55,7 +55,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH t AS (
-  SELECT conv_id, turn, CASE WHEN lower(trim(coalesce(role, ''))) = '' THEN 'unknown' ELSE lower(trim(role)) END AS role,
+  SELECT conv_id, turn, CASE WHEN lower(trim(coalesce(role, ''))) = '' THEN 'unknown' ELSE regexp_replace(lower(trim(role)), '[<|>\\r\\n]', '_', 'g') END AS role,
          replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
