@@ -98,7 +98,7 @@ def thumbnail(data: bytes) -> tuple[int, int, int, np.ndarray]:
                 tables[body[at] >> 4, body[at] & 15] = counts, body[at + 17 : at + 17 + n]
                 at += 17 + n
         elif marker in (0xC0, 0xC1):
-            if len(body) < 6 or len(body) < 6 + 3 * body[5]:
+            if len(body) < 6 or not body[5] or len(body) < 6 + 3 * body[5]:
                 raise Damaged("bad frame")
             if body[0] != 8:
                 raise Damaged("unsupported precision")
