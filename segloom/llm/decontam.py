@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import TMP, emit, slices, text_buffers, whole_groups
+from .common import TMP, emit, slices, text_buffers
 from .quality import WORD_CODES
 
 #: Shortest tile in words; least share of an item's words under tiles; most bytes of items that go to every task.
@@ -65,14 +65,16 @@ class Items:
         order = np.argsort(runs, kind="stable")
         self.runs, self.places = runs[order], places[order]
         self.owners = np.searchsorted(self.offsets, self.places, side="right") - 1
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.runs >> np.uint64(42)).astype(np.int64)] = True
+        # first bits of the runs, some for each run
+        self.shift = np.uint64(64 - min(22, max(8, len(runs).bit_length() + 6)))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.runs >> self.shift).astype(np.int64)] = True
 
     def match(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, words under tiles, words of the item) for each pair that shares a run."""
         hashes, offsets = T.words(*text_buffers(texts), WORD_CODES)
         runs = T.ngrams(hashes, self.least)
-        maybe = np.flatnonzero(self.seen[(runs >> np.uint64(42)).astype(np.int64)])
+        maybe = np.flatnonzero(self.seen[(runs >> self.shift).astype(np.int64)])
         low = np.searchsorted(self.runs, runs[maybe], side="left")
         count = np.searchsorted(self.runs, runs[maybe], side="right") - low
         maybe, low, count = maybe[count > 0], low[count > 0], count[count > 0]
@@ -133,16 +135,16 @@ def _runs(name: str, least: int):
 
 
 def _tile_joined(least: int, coverage: float):
-    """Arrow function over (h, text, item_id, item) sorted by h: pairs of enough coverage."""
+    """Arrow function over (h, text, items): pairs of enough coverage."""
     schema = pa.schema([("h", pa.int64()), ("item_id", pa.int64()), ("covered_words", pa.int64()), ("item_words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "h"):
-            hits = []
-            for r in table.to_pylist():
-                items = Items([r["item_id"]], [r["item"]], least)
-                hits += [(r["h"], r["item_id"], n, m) for _, _, n, m in items.match(pa.array([r["text"]])) if n >= coverage * m]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, h)) for h in hits], schema)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                h, known = batch.column("h")[r].as_py(), batch.column("items")[r].as_py()
+                items = Items([i["item_id"] for i in known], [i["item"] for i in known], least)
+                hits = [(h, items.ids[o], n, m) for _, o, n, m in items.match(batch.column("text").slice(r, 1)) if n >= coverage * m]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in hits], schema)
 
     return run
 
@@ -153,8 +155,8 @@ def _shuffled(docs: DataFrame, items: DataFrame, least: int, coverage: float) ->
     seeds = items.mapInArrow(_runs("item_id", least), "item_id long, run long").distinct()
     own = texts.mapInArrow(_runs("h", least), "h long, run long").distinct()
     pairs = own.join(seeds, "run").select("h", "item_id").distinct()
-    joined = pairs.join(texts, "h").join(items.withColumnRenamed("text", "item"), "item_id").select("h", "text", "item_id", "item")
-    joined = joined.repartition("h").sortWithinPartitions("h")
+    found = pairs.join(items.withColumnRenamed("text", "item"), "item_id").groupBy("h").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    joined = texts.join(found, "h").select("h", "text", "items")
     return joined.mapInArrow(_tile_joined(least, coverage), "h long, item_id long, covered_words long, item_words long")
 
 
@@ -165,7 +167,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST, coverage
     `least` words can't be told from chance and are not looked for, nor those whose item_id or text is
     null; an item_id with several texts stands for each. Documents with a null text hold nothing; a
     null doc_id is reported as null. Repeated rows are reported once. Items of up to `small` bytes go to
-    every task; more are found by a join on shared runs, with the same result.
+    every task; more are found by a join on shared runs, with the same result. A text that is empty or of marks
+    only holds nothing. doc_id and item_id have to be whole numbers.
     """
     docs, items = docs.select("doc_id", "text"), _clean_items(items)
     known = _small(items, small)

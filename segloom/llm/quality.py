@@ -42,9 +42,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         start, end = T.spans(part, np.clip(bounds, at, to) - at)
         if not len(start):
             continue
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(WORD_CODES[part] * T.powers(len(part)), out=total[1:])
-        cores.append(T.mix((total[end] - total[start]) * T.powers(len(part), T.INVERSE)[start]))
+        cores.append(T.hashes_of(part, start, end, WORD_CODES)[0])
         marks = np.add.reduceat(_SHAPE_CODES[part], start)
         capitals = np.add.reduceat(_UPPER[part], start) > 1
         shapes.append(marks + capitals.astype(np.uint64))
@@ -147,13 +145,15 @@ def score(text: Column, model: tuple[np.ndarray, np.ndarray], names: tuple[str,
     return F.arrow_udf(run, "struct<" + ",".join(f"{n}:double" for n in names) + ">")(text)
 
 
-def keeps(p_quality: Column, p_toxic: Column) -> Column:
-    return (p_quality >= GOOD) & ((p_toxic <= TOXIC) | (p_toxic == 0.5))
+def keeps(p_quality: Column, p_toxic: Column, model: tuple[np.ndarray, np.ndarray]) -> Column:
+    """Whether a document is kept; what the model has no weight for rejects none."""
+    told = model[1].any(0)
+    return (p_quality >= GOOD if told[0] else F.lit(True)) & (p_toxic <= TOXIC if told[1] else F.lit(True))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, p_quality, p_toxic, keep) for every row of docs; keep: p_quality >= GOOD and p_toxic <= TOXIC
-    (with nothing learned, every document is kept).
+    (where nothing was learned of one of them, it rejects no document).
 
     Repeated rows and rows whose doc_id is null are scored like all others; a null text as an empty one.
     Only doc_id and text are read, so other columns may have any name. An empty table gives no rows.
@@ -161,11 +161,11 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     model = fit(docs, labels, **options)
     scored = docs.select("doc_id", score(F.col("text"), model).alias("s"))
     p, q = F.col("s.p_quality"), F.col("s.p_toxic")
-    return scored.select("doc_id", p.alias("p_quality"), q.alias("p_toxic"), keeps(p, q).alias("keep"))
+    return scored.select("doc_id", p.alias("p_quality"), q.alias("p_toxic"), keeps(p, q, model).alias("keep"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without those that classify() wouldn't keep, all columns as they are."""
-    order = docs.columns
-    scored = docs.withColumn(TMP + "s", score(F.col("text"), fit(docs, labels, **options)))
-    return scored.where(keeps(F.col(TMP + "s.p_quality"), F.col(TMP + "s.p_toxic"))).select(*order)
+    order, model = docs.columns, fit(docs, labels, **options)
+    scored = docs.withColumn(TMP + "s", score(F.col("text"), model))
+    return scored.where(keeps(F.col(TMP + "s.p_quality"), F.col(TMP + "s.p_toxic"), model)).select(*order)

@@ -66,20 +66,32 @@ def spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes of the words from start to end, and which have bytes that count (None: all)."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    own = codes[data]
+    if codes.all():
+        np.cumsum(own * powers(len(data)), out=total[1:])
+        return mix((total[end] - total[start]) * powers(len(data), INVERSE)[start]), None
+    # the power of a byte is how many before it count
+    nth = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(own != 0, out=nth[1:])
+    np.cumsum(own * powers(len(data)).take(nth[:-1]), out=total[1:])
+    return mix((total[end] - total[start]) * powers(len(data) + 1, INVERSE)[nth[start]]), nth[end] > nth[start]
+
+
 def words(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray = BYTE_CODES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word and where each text's words begin (one more offset than texts).
 
-    codes: a 64-bit code for each byte; bytes of code 0 at a word's end don't count.
+    codes: a 64-bit code for each byte; bytes of code 0 don't count, nor do words that have no others.
     """
     hashes, begins = [], []
     for at, to in pieces(data, bounds):
         part = data[at:to]
         start, end = spans(part, np.clip(bounds, at, to) - at)
-        total = np.empty(len(part) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(codes[part] * powers(len(part)), out=total[1:])
-        hashes.append(mix((total[end] - total[start]) * powers(len(part), INVERSE)[start]))
-        begins.append(start + at)
+        found, some = hashes_of(part, start, end, codes)
+        hashes.append(found if some is None else found[some])
+        begins.append((start if some is None else start[some]) + at)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), bounds)
