@@ -1,9 +1,9 @@
 """Shards of even bytes out of indivisible groups, by Karmarkar-Karp differencing.
 
 A partial partition is a tuple of one sum for each shard. The two of largest spread (greatest less least
-sum) are combined in opposite order, largest with least, until one is left. Groups are differenced in
-buckets of bounded size; the buckets' own partial partitions are then differenced in the same way, level
-by level, so no task holds more than one bucket.
+sum) are combined in opposite order, largest with least, until one is left. One task differences a bounded
+number of groups: of more, the largest are differenced first, and the others in buckets, each of which also
+has its equal part of the large groups' partition to even out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import TMP, emit, materialise, starts_of, whole_groups
 
-#: Shards; most partial partitions that one task combines.
+#: Shards; most groups that are differenced at once, but for chance in the buckets' sizes.
 SHARDS, BUCKET = 64, 4096
 
 
@@ -59,20 +59,21 @@ def difference(parts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _level(shards: int):
-    """Arrow function over (bucket, unit, slot, bytes) sorted: the slot of the bucket that each unit's slot goes to."""
-    schema = pa.schema([("bucket", pa.int64()), ("unit", pa.int64()), ("slot", pa.int32()), ("bytes", pa.int64()), ("to", pa.int32())])
+def _bucket(part: np.ndarray):
+    """Arrow function over (bucket, unit, bytes) sorted: the shard of each unit; part: what each bucket's shards hold already."""
+    schema = pa.schema([("unit", pa.int64()), ("shard", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "bucket"):
-            bucket, unit, slot, size = (table.column(c).to_numpy() for c in ("bucket", "unit", "slot", "bytes"))
+            bucket, unit, size = (table.column(c).to_numpy() for c in ("bucket", "unit", "bytes"))
             first = starts_of(bucket)
             for at, to in zip(first, np.r_[first[1:], len(bucket)]):
-                row = np.cumsum(np.r_[0, unit[at + 1 : to] != unit[at : to - 1]])
-                parts = np.zeros((int(row[-1]) + 1, shards), np.int64)
-                parts[row, slot[at:to]] = size[at:to]
-                goes = difference(parts)[row, slot[at:to]]
-                yield emit(schema, bucket[at:to], unit[at:to], slot[at:to], size[at:to], goes)
+                parts = np.zeros((to - at + 1, len(part)), np.int64)
+                parts[:-1, 0], parts[-1] = size[at:to], part
+                goes = difference(parts)
+                shard = np.empty(len(part), np.int64)
+                shard[goes[-1]] = np.arange(len(part))
+                yield emit(schema, unit[at:to], shard[goes[:-1, 0]])
 
     return run
 
@@ -80,28 +81,30 @@ def _level(shards: int):
 def assign(groups: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
     """(unit, shard) for groups(unit long, bytes long), one row a group.
 
-    Groups of no bytes get a shard like others. Null units are left out, null bytes count as 0.
+    Up to `bucket` groups are differenced at once. Of more, the largest half a bucket is differenced first (ties by
+    unit). The others are put in buckets of about that size by their hash, and each is differenced together with
+    the large groups' partition divided by the number of buckets, so that the buckets' shards add up to even ones:
+    the spread of all is at most the sum of the buckets' spreads. Groups of no bytes get a shard like others. Null
+    units are left out, null bytes count as 0.
     """
-    schema = "bucket long, unit long, slot int, bytes long, to int"
-    units = groups.where("unit is not null").select("unit", F.lit(0).alias("slot"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    spark = groups.sparkSession
+    units = groups.where("unit is not null").select("unit", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
     units = materialise(units, "groups")
-    levels = []
     n = units.count()
-    while True:
-        buckets = -(-n // bucket)
-        key = F.pmod(F.xxhash64("unit"), F.lit(buckets)) if buckets > 1 else F.lit(0).cast("long")
-        rows = units.withColumn("bucket", key).repartition("bucket").sortWithinPartitions("bucket", "unit", "slot")
-        level = materialise(rows.mapInArrow(_level(shards), schema), "level")
-        levels.append(level)
-        if buckets <= 1:
-            break
-        units = level.groupBy(F.col("bucket").alias("unit"), F.col("to").alias("slot")).agg(F.sum("bytes").alias("bytes"))
-        n = buckets
-    found = levels[-1].select("unit", "slot", F.col("to").alias("shard"))
-    for level in reversed(levels[:-1]):
-        up = found.select(F.col("unit").alias("bucket"), F.col("slot").alias("to"), "shard")
-        found = level.join(up, ["bucket", "to"]).select("unit", "slot", "shard")
-    return found.select("unit", "shard")
+    part, buckets, large = np.zeros(shards, np.int64), 1, []
+    if n > bucket:
+        large = [tuple(r) for r in units.orderBy(F.desc("bytes"), "unit").limit(max(1, bucket // 2)).collect()]
+        parts = np.zeros((len(large), shards), np.int64)
+        parts[:, 0] = [size for _, size in large]
+        where = difference(parts)[:, 0]
+        buckets = -(-(n - len(large)) // bucket)
+        part = np.bincount(where, parts[:, 0], shards).astype(np.int64) // buckets
+        done = spark.createDataFrame([(u, int(s)) for (u, _), s in zip(large, where)], "unit long, shard int")
+        units = units.join(F.broadcast(done.select("unit")), "unit", "left_anti")
+    key = F.pmod(F.xxhash64("unit"), F.lit(buckets)) if buckets > 1 else F.lit(0).cast("long")
+    rows = units.select(key.alias("bucket"), "unit", "bytes").repartition("bucket").sortWithinPartitions("bucket", "unit")
+    found = rows.mapInArrow(_bucket(part), "unit long, shard int")
+    return found.unionByName(done) if large else found
 
 
 def _groups(docs: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def _groups(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, text_hash, bytes, shard) for every row of docs; equal texts form an indivisible group.
 
-    bytes: of the text in UTF-8; a null text has none, and all null texts are one group. Repeated rows and
+    bucket: most groups or buckets that a task differences, as in assign(). bytes: of the text in UTF-8; a null text has none, and all null texts are one group. Repeated rows and
     rows whose doc_id is null are each returned. Only doc_id and text are read. No rows for an empty table.
     """
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
