@@ -25,11 +25,16 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\x0b\\f\\r]+")), F.lit(0)).cast("long")
 
 
+def shuffled(seed: str) -> Column:
+    """The hash that a source's documents are ordered by."""
+    return F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def _order(docs: DataFrame, seed: str) -> DataFrame:
     """Adds source (null as ''), tokens, the shuffling hash, and the hash's first digits, of which prefix sums are made first."""
     return docs.select(
         "*", F.coalesce("source", F.lit("")).alias(TMP + "source"), n_tokens(F.col("text")).alias(TMP + "tokens"),
-        F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias(TMP + "hash"),
+        shuffled(seed).alias(TMP + "hash"),
     ).withColumn(TMP + "part", F.substring(TMP + "hash", 1, 3))
 
 
@@ -42,7 +47,8 @@ def _bases(slim: DataFrame) -> DataFrame:
 
 def _starts(rows: DataFrame, bases: DataFrame) -> DataFrame:
     """Adds the token of the source at which each document begins."""
-    before = Window.partitionBy(TMP + "source", TMP + "part").orderBy(TMP + "hash", "doc_id", TMP + "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    order = [c for c in (TMP + "hash", "doc_id", TMP + "tokens", TMP + "text") if c in rows.columns]
+    before = Window.partitionBy(TMP + "source", TMP + "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(TMP + "local", F.coalesce(F.sum(TMP + "tokens").over(before), F.lit(0)))
     return rows.join(bases, [TMP + "source", TMP + "part"]).withColumn(TMP + "start", F.col(TMP + "base") + F.col(TMP + "local"))
 
@@ -114,20 +120,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs as the schedule of mix() draws them: each as often as the block of its first token is scheduled, perhaps never.
 
-    All columns stay. Documents without words are in no block and are left out.
+    All columns stay. Documents without words are in no block and are left out. Rows of one doc_id and as many
+    tokens are in order of their texts' hashes; of rows with the same doc_id, source and text any may be drawn more
+    often than another. An empty table stays empty.
     """
     spark, order = docs.sparkSession, docs.columns
-    rows = _order(docs, seed).where(f"{TMP}tokens > 0")
-    slim = materialise(rows.select("doc_id", TMP + "source", TMP + "tokens", TMP + "hash", TMP + "part"), "tokens")
+    text = F.xxhash64("text").alias(TMP + "text")
+    rows = _order(docs.select("doc_id", "source", "text"), seed).where(f"{TMP}tokens > 0")
+    slim = materialise(rows.select("doc_id", TMP + "source", TMP + "tokens", TMP + "hash", TMP + "part", text), "tokens")
     plan = _plan(slim, weights, block, epochs)
     drawn = schedule(spark, plan, n_slots(plan, epochs)).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     sources = _source_table(spark, plan).join(drawn, "k").select(F.col("source").alias(TMP + "source"), F.col("blocks").alias(TMP + "blocks"), F.col("n").alias(TMP + "n"))
-    starts = _starts(rows, _bases(slim)).join(F.broadcast(sources), TMP + "source")
+    starts = _starts(slim, _bases(slim)).join(F.broadcast(sources), TMP + "source")
     own = F.floor(F.col(TMP + "start") / block)
     times = F.floor(F.col(TMP + "n") / F.col(TMP + "blocks")) + (own < F.col(TMP + "n") % F.col(TMP + "blocks")).cast("long")
-    return starts.withColumn(TMP + "times", times).where(f"{TMP}times > 0").select(
-        *order, F.explode(F.sequence(F.lit(1), F.col(TMP + "times")))
-    ).select(*order)
+    # rows of one key are numbered on either side, by which they are joined one to one
+    key = [TMP + "hash", TMP + "source", TMP + "text"]
+    nth = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by))
+    drawn = starts.withColumn(TMP + "times", times).withColumn(TMP + "nth", nth(TMP + "start")).where(f"{TMP}times > 0").select(*key, TMP + "nth", TMP + "times")
+    whole = docs.withColumns({TMP + "hash": shuffled(seed), TMP + "source": F.coalesce("source", F.lit("")), TMP + "text": F.xxhash64("text")})
+    found = whole.withColumn(TMP + "nth", nth(TMP + "hash")).join(drawn, [*key, TMP + "nth"])
+    return found.select(*order, F.explode(F.sequence(F.lit(1), F.col(TMP + "times")))).select(*order)
 
 
 ORACLE = f"""
