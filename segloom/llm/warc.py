@@ -64,31 +64,36 @@ def manifest(pages: DataFrame, pages_per_file: int = PAGES) -> DataFrame:
 
 
 def drill(pages: DataFrame, pages_per_file: int = PAGES) -> tuple[DataFrame, DataFrame]:
-    """The manifest of pages and that of a replica with known damage, by the hash of page_id: of 256 records one is altered in its middle, one is lost."""
+    """The manifest of pages and that of a replica with known damage, by the hash of page_id: of 256 records one is altered in its middle, one is lost.
+
+    Every record of the replica is hashed from its own content. A lost record leaves a gap, as a hole in a file does:
+    the others stay where they are.
+    """
     named = _named(pages, pages_per_file)
     mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
     middle = F.floor(F.length("record") / 2).cast("int")
     altered = F.concat(F.substring("record", 1, middle), F.lit("\u0000"), F.substring(F.col("record"), middle + 2, F.length("record")))
+    replica = F.when(mark == "00", altered).otherwise(F.col("record"))
     rows = named.select(
         "file_id", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), mark.alias("mark"),
-        F.when(mark == "00", F.octet_length(altered).cast("long")).alias("their_length"), F.when(mark == "00", F.sha2(altered, 256)).alias("their_digest"),
+        F.octet_length(replica).cast("long").alias("their_length"), F.sha2(replica, 256).alias("their_digest"),
     )
     placed = materialise(_placed(rows), "drill")
-    theirs = placed.where("mark <> '01'").select("file_id", "offset", F.coalesce("their_length", "length").alias("length"), "page_id", F.coalesce("their_digest", "digest").alias("digest"))
+    theirs = placed.where("mark <> '01'").select("file_id", "offset", F.col("their_length").alias("length"), "page_id", F.col("their_digest").alias("digest"))
     return placed.select("file_id", "offset", "length", "page_id", "digest"), theirs
 
 
 def tree(leaves: DataFrame, levels: int, range_bytes: int = RANGE, fanout: int = FANOUT) -> list[DataFrame]:
-    """Nodes (file_id, node, hash) of each level, ranges first, roots last."""
+    """Nodes (file_id, node, hash) of each level, ranges first, roots last; each is written once, and the next is made of it."""
 
     def combine(rows: DataFrame, node: Column, order: str, line: Column) -> DataFrame:
         lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
         return rows.groupBy("file_id", node.alias("node")).agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), 256).alias("hash"))
 
     line = F.concat_ws(":", "offset", "length", "digest")
-    found = [combine(leaves, F.floor(F.col("offset") / range_bytes), "offset", line)]
+    found = [materialise(combine(leaves, F.floor(F.col("offset") / range_bytes), "offset", line), "nodes")]
     for _ in range(levels):
-        found.append(combine(found[-1], F.floor(F.col("node") / fanout), "node", F.concat_ws(":", "node", "hash")))
+        found.append(materialise(combine(found[-1], F.floor(F.col("node") / fanout), "node", F.concat_ws(":", "node", "hash")), "nodes"))
     return found
 
 
@@ -106,7 +111,8 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE, fanout:
 
     kind: "changed"; "missing", if only ours has a record there; "extra", if only theirs has. Records are held
     against each other by file and offset; where one manifest lists several records at one place, they are
-    compared in order of their digests. page_id and length are ours, or theirs for what is extra. Rows whose
+    compared in order of their digests. What stands at another offset is another place: a replica that closed the gap
+    of a lost record differs from there to the end of that file, each record being missing and extra. page_id and length are ours, or theirs for what is extra. Rows whose
     file_id or offset is null are left out. Equal manifests give no rows.
     """
     keep = lambda m, name: materialise(m.where("file_id is not null and offset is not null"), name)
