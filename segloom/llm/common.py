@@ -29,7 +29,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and outlives executors."""
     path = f"{scratch_dir(df.sparkSession)}/segloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._segloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and that nothing is still to be read from."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._segloom_path)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

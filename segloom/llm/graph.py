@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,6 +38,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-        edges = materialise(_star(_star(edges, True), False), label)
+        done, edges = edges, materialise(_star(_star(edges, True), False), label)
+        discard(done)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as T
-from .common import emit, materialise, slices, starts_of, text_buffers, whole_groups
+from .common import discard, emit, materialise, slices, starts_of, text_buffers, whole_groups
 
 #: log2 of a context's cells at least and at most, contexts, folds, bytes after which weights are refined.
 BITS, MOST, CONTEXTS, FOLDS, BLOCK = 21, 24, 4, 2, 64
@@ -313,6 +313,7 @@ def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, list[list[np.ndarray]]
     code = Code(counts)
     sums = follows.mapInArrow(_by_cell(code), _COUNTS_DDL).repartition("part").sortWithinPartitions("part").mapInArrow(_cells_merged, _COUNTS_DDL)
     sums = materialise(sums, "counts")
+    discard(follows)
     sizes = [bits] * (FOLDS * CONTEXTS)
     for k, n in sums.groupBy(F.shiftright("part", PARTS)).agg(F.sum("n")).collect():
         for same in range(k % CONTEXTS, len(sizes), CONTEXTS):
@@ -320,6 +321,7 @@ def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, list[list[np.ndarray]]
     tables = [np.zeros(1 << b, np.int8) for b in sizes]
     for r in sums.mapInArrow(_pack(sizes), "part long, cells binary").toLocalIterator():
         tables[r[0] >> PARTS].reshape(-1, 1 << PARTS)[:, r[0] & ((1 << PARTS) - 1)] = np.frombuffer(r[1], np.int8)
+    discard(sums)
     return code, [tables[fold * CONTEXTS : (fold + 1) * CONTEXTS] for fold in range(FOLDS)]
 
 
