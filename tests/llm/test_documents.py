@@ -383,3 +383,146 @@ def test_scores_are_sparse_dot_products(spark):
     for k in range(4):
         assert got[k] == pytest.approx(1 / (1 + np.exp(-(w[0] + w[list(sets[k] - {0})].sum()))))
     assert len(sets[0] & sets[1]) >= 3
+
+
+# brute force of what is fitted, and limits of what is searched
+
+
+def plain_features(text: str) -> set:
+    """Words without marks, pairs of them, and marks and capitals of a word, as strings."""
+    words = text.split()
+    core = ["".join(c for c in w.lower() if c.isalnum()) for w in words]
+    out = {("w", c) for c in core} | {("p", *p) for p in zip(core, core[1:])}
+    for w in words:
+        marks, capitals = "".join(sorted(c for c in w if not c.isalnum())), sum(c.isupper() for c in w) > 1 and not any(c.islower() for c in w)
+        if marks or capitals:
+            out.add(("s", marks, capitals))
+    return out
+
+
+def test_training_equals_plain_ftrl(spark):
+    """FTRL-proximal on dictionaries, in the same order of rows."""
+    r = random.Random(8)
+    docs, labels = [], []
+    for i in range(120):
+        words = prose(i, 20).split()
+        if i % 3 == 0:
+            words = [w.upper() + "!" for w in words]
+        if i % 4 == 0:
+            words.insert(r.randrange(20), '"vile"')
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 > 0), int(i % 4 == 0) if i % 5 else None))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    order = [x.doc_id for x in d.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text, truth = dict(docs), {i: (q, t) for i, q, t in labels}
+    z, n = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [0.0, 0.0])
+    l1 = quality.L1 * len(order) ** 0.5
+
+    def weight(f, k):
+        if abs(z[f][k]) <= l1:
+            return 0.0
+        return -(z[f][k] - np.sign(z[f][k]) * l1) / ((quality.BETA + n[f][k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.PASSES):
+        for i in order:
+            own = plain_features(text[i]) | {"bias"}
+            for k in (0, 1):
+                if truth[i][k] is None:
+                    continue
+                w = {f: weight(f, k) for f in own}
+                g = 1 / (1 + np.exp(-sum(w.values()))) - truth[i][k]
+                for f in own:
+                    z[f][k] += g - ((n[f][k] + g * g) ** 0.5 - n[f][k] ** 0.5) / quality.ALPHA * w[f]
+                    n[f][k] += g * g
+    got = {x.doc_id: x for x in quality.classify(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i in order:
+        own = plain_features(text[i]) | {"bias"}
+        for k, p in enumerate((got[i].p_quality, got[i].p_toxic)):
+            assert p == pytest.approx(1 / (1 + np.exp(-sum(weight(f, k) for f in own))), abs=1e-6)
+    assert len({round(x.p_toxic, 3) for x in got.values()}) > 1
+
+
+def test_nothing_learned_of_toxicity_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30).upper() if i % 2 else prose(i, 30)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert {x.p_toxic for x in got} == {0.5} and {x.doc_id for x in got if x.keep} == set(range(0, 60, 2))
+
+
+def test_marks_do_not_count():
+    same = ["it's a co-operative word", '"its (a) cooperative - *word*', "ITS a -- cooperative word!", "its a cooperative word"]
+    data, bounds = text_buffers(pa.array(same))
+    hashes, at = T.words(data, bounds, quality.WORD_CODES)
+    assert list(np.diff(at)) == [4] * 4 and len({tuple(hashes[a:b]) for a, b in zip(at, at[1:])}) == 1
+
+
+def test_marked_up_items_are_found(spark):
+    item = prose(70, 24)
+    marked = " ".join(f'"{w}' if k % 3 == 0 else f"{w} -" if k % 3 == 1 else f"*{w}*" for k, w in enumerate(item.split()))
+    docs = spark.createDataFrame([(1, prose(71, 20) + " " + marked), (2, prose(72, 50)), (3, "- ! ."), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "--- ... !!!"), (3, "")], "item_id long, text string")
+    for small in (decontam.SMALL, 0):
+        assert [(x.doc_id, x.item_id, x.coverage) for x in decontam.contaminated(docs, items, small=small).collect()] == [(1, 1, 1.0)]
+
+
+def test_joined_search_equals_that_of_a_task(spark):
+    """Some thousands of texts and hundreds of items that share common phrases."""
+    r = random.Random(3)
+    phrases = [prose(500 + k, 5) for k in range(20)]
+    items = [(k, " ".join([prose(600 + k, r.randint(2, 12)), r.choice(phrases), prose(800 + k, r.randint(0, 12))])) for k in range(300)]
+    docs = [(k, " ".join([prose(2000 + k, 20), r.choice(phrases), r.choice(items)[1] if k % 7 == 0 else "", r.choice(phrases)])) for k in range(2500)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = rows(decontam.contaminated(d, i))
+    assert len(found) > 300 and found == rows(decontam.contaminated(d, i, small=0))
+
+
+def test_recall_at_the_threshold():
+    """Pairs of Jaccard 0.5 to 0.6 that share a table and agree in their sketches."""
+    r, pairs = random.Random(6), []
+    while len(pairs) < 1500:
+        words = [f"w{r.getrandbits(40)}" for _ in range(60)]
+        new = list(words)
+        for at in r.sample(range(60), r.randint(4, 7)):
+            new[at] = f"n{r.getrandbits(40)}"
+        a, b = ({tuple(w[k : k + 3]) for k in range(58)} for w in (words, new))
+        if 0.5 <= len(a & b) / len(a | b) < 0.6:
+            pairs += [(" ".join(words), " ".join(new))]
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(len(pairs) * 2), "text": [t for p in pairs for t in p]})
+    out = pa.Table.from_batches(list(minhash.half_keys(minhash.BANDS, minhash.ROWS)(iter([batch])))).to_pylist()
+    caught = 0
+    for x, y in zip(out[::2], out[1::2]):
+        meets = set(x["a"]) & set(y["a"]) and set(x["b"]) & set(y["b"])
+        caught += bool(meets) and 64 - ((x["sketch"] ^ y["sketch"]) & (2**64 - 1)).bit_count() >= minhash.agreement(0.5)
+    assert caught / len(pairs) > 0.94 and minhash.recall(0.5) > 0.93 and minhash.agreement(0.5) == 37
+
+
+@pytest.mark.parametrize("power", [1.2, 3.0])
+def test_buckets_lose_little_of_evenness(spark, power):
+    """Against one run over all groups, some of which are as large as a bucket."""
+    r = random.Random(2)
+    sizes = [int(r.paretovariate(power) * 1000) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "unit long, bytes long")
+    spread = {}
+    for bucket in (4096, 256):
+        found = sharding.assign(df, 8, bucket).join(df, "unit")
+        sums = [x[1] for x in found.groupBy("shard").agg(F.sum("bytes")).collect()]
+        assert len(sums) == 8 and sum(sums) == sum(sizes) and found.count() == 4000
+        spread[bucket] = max(sums) - min(sums)
+    assert spread[4096] < 100 and spread[256] < 0.001 * sum(sizes) / 8
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_combined_partitions_spread_no_more_than_the_widest(seed):
+    r = np.random.default_rng(seed)
+    parts = r.integers(0, 1000, (40, 6))
+    goes = sharding.difference(parts)
+    sums = np.bincount(goes.ravel(), parts.ravel(), 6)
+    assert sums.max() - sums.min() <= (parts.max(1) - parts.min(1)).max()
+
+
+def test_mixed_documents_draw_the_text_that_is_due(spark):
+    """Two texts of one doc_id and length: their order is that of their hashes, and rows stay whole."""
+    docs = [(7, prose(1, 40), "a", "x"), (7, prose(2, 40), "a", "y"), (7, prose(2, 40), "a", "y"), *((k, prose(k, 40), "ab"[k % 2], "z") for k in range(10, 40))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, tag string")
+    runs = [Counter(map(tuple, mixing.mixed_documents(df.repartition(n), {"a": 1, "b": 3}, block=100).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and set(runs[0]) <= set(docs)
