@@ -35,9 +35,9 @@ BITS, MOST, CONTEXTS, FOLDS, BLOCK = 21, 24, 4, 2, 64
 #: Bytes of a text that are read by such blocks, and the longer blocks of the rest; multiples of BLOCK.
 EARLY, LATER = 1024, 256
 #: log2 of the words' hashes that counts are gathered by, cells of a table for each that holds counts, and counts a task holds of a kind.
-WIDE, SPARE, HELD = 28, 4, 1 << 21
-#: log2 of the parts that the counts of a kind are divided into: with all 2**WIDE words and 2**24 times three bytes, one has a few hundred MB.
-PARTS = 8
+WIDE, SPARE, HELD = 26, 4, 1 << 21
+#: log2 of the parts that the counts of a kind are divided into: of all 2**WIDE words and 2**24 times three bytes, one has at most a 64th.
+PARTS = 6
 #: Bytes of a word that its context holds; step of the mixer; weight of an output class's first guess.
 PREFIX, STEP, PRIOR = 64, 0.4, 24.0
 GATES, CLASSES = 8, 33
