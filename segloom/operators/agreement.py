@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import cut_points, mass_array
+from .spans import cut_points, lineage, mass_array, numbered
 
 
 def confusions(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -45,14 +45,14 @@ def brackets(nodes: DataFrame, labelled: bool) -> DataFrame:
 
 
 def with_height(nodes: DataFrame) -> DataFrame:
-    """Adds height: 2 for a node over leaves only, one more than its highest child else."""
-    inner = nodes.select("doc_id", F.col("start").alias("s"), F.col("len").alias("l"), F.col("depth").alias("d"))
-    under = nodes.join(inner, "doc_id").where("s >= start and s + l <= start + len and d >= depth")
-    return under.groupBy("doc_id", "start", "len", "label", "depth").agg((F.max("d") - F.col("depth") + 2).alias("height"))
+    """Adds height: 2 for a node over leaves only, one more than its highest child else. A repeated node counts once."""
+    rows = numbered(nodes.select("doc_id", "start", "len", "label", "depth").distinct())
+    deep = lineage(rows, "doc_id", "node_id").groupBy("doc_id", F.col("up").alias("node_id")).agg(F.max("own").alias("deep"))
+    return rows.join(deep, ["doc_id", "node_id"]).select("doc_id", "start", "len", "label", "depth", (F.col("deep") - F.col("depth") + 2).alias("height"))
 
 
 def parseval(first: DataFrame, second: DataFrame, labelled: bool, by: list[str]) -> DataFrame:
-    """(by, precision, recall, f1) of brackets in percent of 1; a bracket counts if the other side has it at all; null without brackets."""
+    """(by, precision, recall, f1) of brackets, as shares of 1; by may be empty, for all documents together. A bracket counts if the other side has it at all; null without brackets."""
     a, b = brackets(first, labelled), brackets(second, labelled)
     key = ["doc_id", "start", "len", "label"]
 
@@ -113,18 +113,20 @@ def boundary_pi(first: DataFrame, second: DataFrame) -> DataFrame:
     share of possible boundaries that were placed. Null if chance leaves no room.
     """
     cuts = cut_points(first).withColumnRenamed("cuts", "a").join(cut_points(second).withColumnRenamed("cuts", "b"), "doc_id")
-    schema = pa.schema([("edits", pa.float64()), ("pairs", pa.int64()), ("placed", pa.int64()), ("places", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                edits, pairs, _ = boundary_similarity(a[1:-1], b[1:-1])
-                rows.append((edits, pairs, len(a) + len(b) - 4, 2 * max(a[-1] - 1, 0)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    sums = cuts.select("a", "b").mapInArrow(run, "edits double, pairs long, placed long, places long").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("edits").alias("e"), F.sum("pairs").alias("p"), F.sum("placed").alias("placed"), F.sum("places").alias("places")
+    inner = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0)))
+    rows = cuts.select(inner("a").alias("a"), inner("b").alias("b"), (F.array_max("a") - 1).alias("room"))
+    rows = rows.select("room", (F.size("a") + F.size("b")).alias("placed"), F.size(F.array_intersect("a", "b")).alias("both"), F.array_except("a", "b").alias("a"), F.array_except("b", "a").alias("b"))
+    # with transpositions of one place, each boundary of the first in order takes its free neighbour, the left one first
+    step = lambda acc, x: F.struct(
+        (acc["moved"] + F.when(F.array_contains("b", x - 1) & (acc["taken"] != x - 1) | F.array_contains("b", x + 1), 1).otherwise(0)).alias("moved"),
+        F.when(F.array_contains("b", x - 1) & (acc["taken"] != x - 1), x - 1).when(F.array_contains("b", x + 1), x + 1).otherwise(acc["taken"]).alias("taken"),
+    )
+    start = F.struct(F.lit(0).alias("moved"), F.lit(-9).alias("taken"))
+    rows = rows.withColumn("moved", F.aggregate("a", start, step, lambda acc: acc["moved"]))
+    rows = rows.withColumn("added", F.size("a") + F.size("b") - 2 * F.col("moved"))
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("added") + F.col("moved") * 0.5).alias("e"), F.sum(F.col("added") + F.col("moved") + F.col("both")).alias("p"),
+        F.sum("placed").alias("placed"), F.sum(2 * F.greatest("room", F.lit(0))).alias("places"),
     )
     similarity = F.when(F.col("p") == 0, 1.0).otherwise(1 - F.try_divide(F.col("e"), F.col("p")))
     share = F.coalesce(F.try_divide("placed", "places"), F.lit(0.0))
@@ -153,19 +155,25 @@ def alpha_terms(a: list[tuple], b: list[tuple], length: int) -> tuple[float, lis
             sections.append(np.array(own, float).reshape(-1, 3))
         observed = 0.0
         for x, y in ((0, 1), (1, 0)):
-            g, h = sections[x][:, None, :], sections[y][None, :, :]
-            gap = g[..., 0] - h[..., 0]
-            meet = (g[..., 2] == 1) & (h[..., 2] == 1) & (gap > -g[..., 1]) & (gap < h[..., 1])
-            inside = (g[..., 2] == 1) & (h[..., 2] == 0) & (gap >= 0) & (h[..., 1] - g[..., 1] >= gap)
-            around = (g[..., 2] == 0) & (h[..., 2] == 1) & (gap <= 0) & (h[..., 1] - g[..., 1] <= gap)
-            over = gap + g[..., 1] - h[..., 1]
-            observed += np.where(meet, gap**2 + over**2, np.where(inside, g[..., 1] ** 2, np.where(around, h[..., 1] ** 2, 0))).sum()
+            # either side divides the whole continuum, so the pairs that overlap are no more than the sections
+            g, h = sections[x], sections[y]
+            low = np.searchsorted(h[:, 0] + h[:, 1], g[:, 0], side="right")
+            many = np.searchsorted(h[:, 0], g[:, 0] + g[:, 1], side="left") - low
+            g = np.repeat(g, many, axis=0)
+            h = h[np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            gap = g[:, 0] - h[:, 0]
+            meet = (g[:, 2] == 1) & (h[:, 2] == 1)
+            inside = (g[:, 2] == 1) & (h[:, 2] == 0) & (gap >= 0) & (h[:, 1] - g[:, 1] >= gap)
+            around = (g[:, 2] == 0) & (h[:, 2] == 1) & (gap <= 0) & (h[:, 1] - g[:, 1] <= gap)
+            over = gap + g[:, 1] - h[:, 1]
+            observed += np.where(meet, gap**2 + over**2, np.where(inside, g[:, 1] ** 2, np.where(around, h[:, 1] ** 2, 0))).sum()
         every = np.concatenate(sections)
-        units, gaps = every[every[:, 2] == 1], every[every[:, 2] == 0]
-        total = 0.0
-        for _, n, _ in units:
-            room = gaps[gaps[:, 1] >= n]
-            total += (len(units) - 1) / 3 * (2 * n**3 - 3 * n**2 + n) + n**2 * (room[:, 1] - n + 1).sum()
+        units, gaps = every[every[:, 2] == 1], np.sort(every[every[:, 2] == 0][:, 1])
+        n = units[:, 1]
+        # gaps of at least a unit's length: how many, and their sum
+        first = np.searchsorted(gaps, n, side="left")
+        rest = np.r_[np.cumsum(gaps[::-1])[::-1], 0.0][first]
+        total = ((len(units) - 1) / 3 * (2 * n**3 - 3 * n**2 + n) + n**2 * (rest - (len(gaps) - first) * (n - 1))).sum()
         bottom = 2 * length * (2 * length - 1) - (units[:, 1] * (units[:, 1] - 1)).sum()
         out.append((observed / (2 * length**2), 2 / length * total / bottom if bottom else 0.0))
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import runs
+from .spans import lineage, runs
 
 PUNCT = "^[!-/:-@\\[-`{-~]*$"
 
@@ -82,7 +82,7 @@ def wrapped(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
 def constituent_features(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     """(doc_id, node_id, feature, value), one row for each feature of a node over tokens.
 
-    nodes: (doc_id, node_id in pre-order, parent_id, ord, label, start, len, height). Names carry lower-cased
+    nodes: (doc_id, node_id in pre-order, parent_id, ord, label, start, len, depth, height). Names carry lower-cased
     values; tree index and height are numbers. What a neighbour or parent would give is left out where there is none.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
@@ -96,9 +96,8 @@ def constituent_features(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     for side, shift in (("prev", F.lag), ("next", F.lead)):
         for c in ("label", "tok_first", "tok_last"):
             base = base.withColumn(f"{side}_{c}", F.when(F.col("parent_id").isNotNull(), shift(c).over(row)))
-    inner = nodes.select("doc_id", F.col("node_id").alias("i"), F.col("label").alias("il"), F.col("start").alias("is"), F.col("len").alias("in"))
-    deepest = base.join(inner, "doc_id").where("is >= start and is + in <= start + len and i >= node_id").groupBy("doc_id", "node_id").agg(F.max_by("il", "i").alias("label_last"))
-    base = base.join(deepest, ["doc_id", "node_id"])
+    last = lineage(nodes, "doc_id", "node_id").groupBy("doc_id", "up").agg(F.max("node_id").alias("node_id")).join(nodes.select("doc_id", "node_id", F.col("label").alias("label_last")), ["doc_id", "node_id"])
+    base = base.join(last.select("doc_id", F.col("up").alias("node_id"), "label_last"), ["doc_id", "node_id"])
     named = {
         "tokFirst_": low("tok_first"), "tokLast_": low("tok_last"), "lblFirst_": low("label"), "lblLast_": low("label_last"), "lbl_": F.col("label"),
         "prntLbl_": F.coalesce("parent_label", F.lit("")), "prevLbl_": F.col("prev_label"), "prevTokFrst_": low("prev_tok_first"), "prevTokLst_": low("prev_tok_last"),

@@ -26,8 +26,22 @@ def varying(rows: DataFrame) -> DataFrame:
 
 
 def folds(texts: DataFrame, k: int = 10) -> DataFrame:
-    """(doc_id, fold): contiguous folds in order of doc_id, the first ones larger by one."""
-    return texts.select("doc_id").distinct().select("doc_id", (F.ntile(k).over(Window.orderBy("doc_id")) - 1).alias("fold"))
+    """(doc_id, fold): contiguous folds in order of doc_id, the first ones larger by one.
+
+    Whole-numbered documents are counted by runs of 4096 numbers, and others by the hash of what they begin with, so
+    no task orders them all. A null doc_id is in no fold; fewer than k documents make as many folds.
+    """
+    ids = texts.where("doc_id is not null").select("doc_id").distinct()
+    whole = dict(ids.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint")
+    ids = ids.withColumn("run", F.floor(F.col("doc_id") / 4096) if whole else F.substring(F.col("doc_id").cast("string"), 1, 3))
+    runs = ids.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    place = F.col("base") + F.row_number().over(Window.partitionBy("run").orderBy("doc_id")) - 1
+    rows = ids.join(runs, "run").withColumn("place", place)
+    size, more = F.floor(F.col("all") / k), F.col("all") % k
+    fold = F.when(F.col("place") < more * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(more + F.floor((F.col("place") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return rows.select("doc_id", fold.cast("int").alias("fold"))
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -69,7 +83,7 @@ def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool =
         svm = LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(rows.count(), 1)))
         stages = [
             StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="names", outputCol="hot", binary=True, minDF=min_rows),
+            CountVectorizer(inputCol="names", outputCol="hot", binary=True, minDF=min_rows, vocabSize=2**31 - 1),
             VectorAssembler(inputCols=["hot", *numbers], outputCol="all"),
             VarianceThresholdSelector(featuresCol="all", outputCol="features", varianceThreshold=0.0),
             OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index"),
@@ -81,6 +95,11 @@ def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool =
         rows.unpersist()
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """Write a model to a path, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
 def load(model: str | PipelineModel) -> PipelineModel:
     """A model, or the one saved at a path."""
     if isinstance(model, PipelineModel):
@@ -93,11 +112,14 @@ def load(model: str | PipelineModel) -> PipelineModel:
 
 def cross_validate(rows: DataFrame, numbers: list[str], k: int = 10, **options) -> DataFrame:
     """(fold, gold, pred) of every row, each by a model that was trained on the other folds' documents."""
-    rows = rows.join(folds(rows, k), "doc_id").cache()
+    rows = rows.join(folds(rows, k), "doc_id").persist()
     parts = []
-    for (fold,) in sorted(rows.select("fold").distinct().collect()):
-        model = train(rows.where(F.col("fold") != fold), numbers, **options)
-        parts.append(model.transform(rows.where(F.col("fold") == fold)).select("fold", F.col("label").alias("gold"), "pred"))
+    try:
+        for (fold,) in sorted(rows.select("fold").distinct().collect()):
+            model = train(rows.where(F.col("fold") != fold), numbers, **options)
+            parts.append(model.transform(rows.where(F.col("fold") == fold)).select("fold", F.col("label").alias("gold"), "pred"))
+    finally:
+        rows.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
