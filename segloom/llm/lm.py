@@ -44,7 +44,7 @@ GATES, CLASSES = 8, 33
 #: Bytes of a long context, one place in how many has one, and bytes of a stretch at most.
 AHEAD, EVERY, STRETCH = 24, 64, 256
 #: Bytes that are worked on at once: arrays of their decisions should stay in a cache.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: Predictions are held in sixteenths, and so are the weights' first values.
 UNIT = np.float32(1 / 16)
 START = np.array([0.15, 0.25, 0.45, 0.4, 0.0], np.float32)
@@ -102,19 +102,21 @@ def _sums_of(data: np.ndarray) -> np.ndarray:
 def contexts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each byte the last three bytes, the last one lowest, and the hash of the word so far; neither reaches over the text's begin."""
     n = len(data)
-    begin = np.zeros(n, np.int64)
     inner = bounds[:-1][np.diff(bounds) > 0]
-    begin[inner] = inner
-    begin = np.maximum.accumulate(begin)
-    since = np.arange(n) - begin
     three = np.zeros(n, np.uint32)
     for k in (1, 2, 3):
-        if k < n:
-            three[k:] |= np.where(since[k:] < k, 0, data[:-k]).astype(np.uint32) << np.uint32(8 * (k - 1))
+        three[k:] |= data[:-k].astype(np.uint32) << np.uint32(8 * (k - 1))
+    for k in (0, 1, 2):
+        # the first three bytes of a text have only those before them
+        near = inner[inner + k < n] + k
+        three[near] &= np.uint32((1 << 8 * k) - 1)
     total = _sums_of(data)
-    other = np.zeros(n, np.int64)
-    other[1:] = np.where(_LETTER[data[:-1]], 0, np.arange(1, n))
-    word = np.maximum(np.maximum(np.maximum.accumulate(other), begin), np.arange(n) - PREFIX)
+    word = np.zeros(n, np.int64)
+    other = np.flatnonzero(~_LETTER[data[:-1]]) + 1
+    word[other] = other
+    word[inner] = inner
+    np.maximum.accumulate(word, out=word)
+    np.maximum(word, np.arange(-PREFIX, n - PREFIX), out=word)
     prefix = T.mix((total[:-1] - total[word]) * T.powers(n, T.INVERSE)[word])
     return three, ((prefix >> np.uint64(32)).astype(np.uint32) ^ (three & np.uint32(255)) * np.uint32(0x01000193)) >> np.uint32(32 - WIDE)
 
@@ -137,7 +139,7 @@ def decisions(data: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.begins[data] - (ends - lengths), lengths)
 
 
-def _long(data: np.ndarray, bounds: np.ndarray, most: int = 4 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def _long(data: np.ndarray, bounds: np.ndarray, most: int = 8 * CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Pieces of (bytes, bounds, bytes that only serve as context); a text over `most` is cut."""
     if len(data) <= most:
         yield data, bounds, 0
@@ -220,7 +222,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _parted(kind, part.astype(np.int64), PARTS, keys, counts)
 
     for whole in batches:
-        for fold, runs in _by_fold(whole, 2 * CHUNK):
+        for fold, runs in _by_fold(whole, 4 * CHUNK):
             for batch in runs:
                 for data, bounds, skip in _long(*text_buffers(batch.column("text"))):
                     if len(data) <= skip:
@@ -344,7 +346,9 @@ class Reader:
         w = self.weights[:, rows]
         z = np.repeat(w[CONTEXTS], sizes)
         for k in range(CONTEXTS):
-            z += np.repeat(w[k], sizes) * x[k]
+            own = np.repeat(w[k], sizes)
+            own *= x[k]
+            z += own
         np.clip(z, -8, 8, out=z)
         p = np.exp(-z)
         p += 1
@@ -366,7 +370,7 @@ class Reader:
         self.weights[CONTEXTS, rows] += step * np.add.reduceat(miss, starts)
         step *= UNIT * UNIT
         for k in range(CONTEXTS):
-            self.weights[k, rows] += step * np.add.reduceat(miss * x[k], starts)
+            self.weights[k, rows] += step * np.add.reduceat(np.multiply(miss, x[k], out=own), starts)
         kind *= 2
         kind += bit > 0
         counts += np.bincount(kind, minlength=len(counts))
