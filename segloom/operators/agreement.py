@@ -34,6 +34,20 @@ def kappa(pairs: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "n", "accuracy", "expected", F.try_divide(F.col("accuracy") - F.col("expected"), 1 - F.col("expected")).alias("kappa"))
 
 
+def confusion_report(pairs: DataFrame) -> DataFrame:
+    """(pairs, n, matching, same, share, accuracy, expected, kappa) of three sets of pairs (gold, pred).
+
+    They are all, those of spans that gold has, and those of spans that both have; share is how many of a set's spans
+    both have. A null label is a span that isn't there. Without pairs there are no rows.
+    """
+    gold, pred = F.col("gold").isNotNull(), F.col("pred").isNotNull()
+    sets = F.filter(F.array(F.lit("all"), F.when(gold, "gold"), F.when(gold & pred, "both")), lambda x: x.isNotNull())
+    rows = pairs.withColumn("pairs", F.explode(sets))
+    sums = rows.groupBy("pairs").agg(F.count_if(gold & pred).alias("matching"), F.count_if(F.col("gold") == F.col("pred")).alias("same"))
+    found = kappa(rows, ["pairs"]).join(sums, "pairs")
+    return found.select("pairs", "n", "matching", "same", (F.col("matching") / F.col("n")).alias("share"), "accuracy", "expected", "kappa")
+
+
 def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 

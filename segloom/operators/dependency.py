@@ -200,3 +200,13 @@ def segments(edges: DataFrame, strategy: str = "greedy", decide: Callable = defa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("sent_id").cast(pa.int32()), pa.array(texts)], schema=schema)
 
     return rows.mapInArrow(run, "doc_id long, sent_id int, text string")
+
+
+def assemble(sentences: DataFrame) -> DataFrame:
+    """(doc_id, text): the bracketed texts of segments() in order of their sentences, under one TEXT for each document.
+
+    Sentences of null text are left out; a document without any other has no row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("sent_id", "text")))
+    rows = sentences.where("text is not null").groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return rows.select("doc_id", F.concat(F.lit("(TEXT "), "text", F.lit(" )")).alias("text"))

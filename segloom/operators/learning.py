@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,24 +75,32 @@ def macro_micro(pairs: DataFrame) -> DataFrame:
 def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool = True, min_rows: float = 1.0, iterations: int = 30) -> PipelineModel:
     """One-vs-rest linear SVM over names (one-hot) and numeric columns, without features that never vary.
 
-    rows: names, numbers, label. The hinge loss is Spark's, with regularisation 1 / (C n).
+    rows: names, numbers, label. The hinge loss is Spark's, with regularisation 1 / (C n). Rows that are alike are
+    trained on as one of their joint weight, so iterations run over different rows only. min_rows: rows that a name
+    needs, or their share below 1; the names kept are held by the driver.
     """
-    rows = rows.join(F.broadcast(class_weights(rows)).select("label", "weight"), "label") if balanced else rows.withColumn("weight", F.lit(1.0))
-    rows = rows.cache()
+    counted = rows.groupBy("names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    share = F.col("share") if balanced else F.lit(1.0)
+    counted = counted.join(F.broadcast(class_weights(rows)).select("label", F.col("weight").alias("share")), "label").withColumn("weight", share * F.col("n_rows")).persist()
     try:
-        svm = LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(rows.count(), 1)))
+        n = counted.agg(F.sum("n_rows")).first()[0] or 1
+        need = min_rows if min_rows >= 1 else min_rows * n
+        known = counted.select(F.explode(F.array_distinct("names")).alias("name"), "n_rows").groupBy("name").agg(F.sum("n_rows").alias("n")).where(F.col("n") >= need)
+        names = [r.name for r in known.orderBy(F.desc("n"), "name").collect()]
+        hot = CountVectorizerModel.from_vocabulary(names, inputCol="names", outputCol="hot").setBinary(True)
+        svm = LinearSVC(maxIter=iterations, regParam=1.0 / (c * n))
         stages = [
             StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="names", outputCol="hot", binary=True, minDF=min_rows, vocabSize=2**31 - 1),
+            hot,
             VectorAssembler(inputCols=["hot", *numbers], outputCol="all"),
             VarianceThresholdSelector(featuresCol="all", outputCol="features", varianceThreshold=0.0),
             OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index"),
         ]
-        fitted = Pipeline(stages=stages).fit(rows)
+        fitted = Pipeline(stages=stages).fit(counted)
         back = IndexToString(inputCol="index", outputCol="pred", labels=fitted.stages[0].labels)
         return PipelineModel(stages=[*fitted.stages[1:], back])
     finally:
-        rows.unpersist()
+        counted.unpersist()
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -83,8 +83,8 @@ def morph_features(spark, sf_dir):
     return rows.select("doc_id", F.floor(F.col("line_no") / 2).cast("int").alias("tok_no"), shown.alias("feats"), morphology.bits_column(F.col("feats")).alias("bits"))
 
 
-@query("""SELECT a.doc_id, a.tok_no, (a.tag = 'ART') = (b.tag = 'ART') OR b.tag NOT IN ('ART', 'NN') OR a.tag NOT IN ('ART', 'NN') AS unifies
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.tok_no = a.tok_no + 1 WHERE a.tag IN ('ART', 'NN')""")
+@query("""SELECT doc_id, tok_no, (tag = 'ART') = (next = 'ART') OR next NOT IN ('ART', 'NN') AS unifies
+  FROM (SELECT doc_id, tok_no, tag, lead(tag) OVER (PARTITION BY doc_id ORDER BY tok_no) AS next FROM tok) WHERE tag IN ('ART', 'NN') AND next IS NOT NULL""")
 def feature_agreement(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -111,11 +111,11 @@ def retag_finite_verbs(spark, sf_dir):
 
 
 def _verbs(spark, sf_dir) -> DataFrame:
-    """Every fifth token stands for a verb of the list, its dependants for particles, adverbs and pronouns."""
+    """Every token stands for a verb of the list, its dependants for particles, adverbs and pronouns."""
     t = toks(spark, sf_dir)
     stems = sorted(lexicon.verb_table(lexicon.COMPLEMENT_VERBS))
     pick = F.element_at(F.array(*(F.lit(s) for s in stems)), (F.col("tok_no") % len(stems) + 1).cast("int"))
-    verbs = t.where("idx % 5 = 2").select("doc_id", "sent_id", "idx", pick.alias("lemma"))
+    verbs = t.select("doc_id", "sent_id", "idx", pick.alias("lemma"))
     dep = F.struct(F.element_at(F.array(*(F.lit(x) for x in DEPS)), (F.col("tok_no") % len(DEPS) + 1).cast("int")).alias("lemma"), F.when(F.col("tok_no") % 2 == 0, "PTKVZ").otherwise("PROAV").alias("pos"), F.when(F.col("idx") % 2 == 0, "OA").otherwise("SB").alias("pdeprel"))
     deps = t.groupBy("doc_id", "sent_id", F.col("head").alias("idx")).agg(F.collect_list(dep).alias("deps"))
     return verbs.join(deps, ["doc_id", "sent_id", "idx"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<struct<lemma string,pos string,pdeprel string>>")))
@@ -134,7 +134,7 @@ def _verb_sql() -> str:
             rows += [f"({n}, '{s}', {k}, '{c[0]}', '{c[1]}', '{c[2] or ''}')" for k, c in enumerate(alternative)] or [f"({n}, '{s}', -1, '', '', '')"]
     listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     return f""", lex(alt, stem, k, kind, word, arg) AS (VALUES {", ".join(rows)}),
-verbs AS (SELECT doc_id, sent_id, idx, {listed(stems)}[tok_no % {len(stems)} + 1] AS lemma FROM tok WHERE idx % 5 = 2),
+verbs AS (SELECT doc_id, sent_id, idx, {listed(stems)}[tok_no % {len(stems)} + 1] AS lemma FROM tok),
 deps AS (SELECT doc_id, sent_id, head, {listed(DEPS)}[tok_no % {len(DEPS)} + 1] AS word, CASE WHEN tok_no % 2 = 0 THEN 'PTKVZ' ELSE 'PROAV' END AS pos,
   CASE WHEN idx % 2 = 0 THEN 'OA' ELSE 'SB' END AS rel FROM tok),
 met AS (
@@ -190,8 +190,9 @@ def longest_prefix(spark, sf_dir):
 
 
 def _bracket_texts(spark, sf_dir) -> DataFrame:
-    """One tree for each sentence: HS over its words, what follows the first comma as SUB; brackets and quotes left out."""
-    t = toks(spark, sf_dir).where("tag <> '$('")
+    """One tree for each sentence: HS over its words, what follows the first comma as SUB; brackets among the words are escaped."""
+    form = F.when(F.col("form").isin("(", ")"), F.concat(F.lit("\\"), "form")).otherwise(F.col("form"))
+    t = toks(spark, sf_dir).withColumn("form", form)
     comma = t.where("tag = '$,'").groupBy("doc_id", "sent_id").agg(F.min("idx").alias("c"))
     side = lambda after: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(after, F.struct("idx", "form")))), lambda x: x["form"]), " ")
     later = F.coalesce(F.col("idx") > F.col("c"), F.lit(False))
@@ -201,9 +202,9 @@ def _bracket_texts(spark, sf_dir) -> DataFrame:
 
 
 BRACKET_SQL = """, kept AS (
-  SELECT doc_id * 1000000 + sent_id AS tree_id, form, idx, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY idx) - 1 AS leaf,
+  SELECT doc_id * 1000000 + sent_id AS tree_id, CASE form WHEN '(' THEN '-OP-' WHEN ')' THEN '-CP-' ELSE form END AS form, idx, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY idx) - 1 AS leaf,
          coalesce(idx > min(CASE WHEN tag = '$,' THEN idx END) OVER (PARTITION BY doc_id, sent_id), false) AS sub
-  FROM tok WHERE tag <> '$('),
+  FROM tok),
 tree AS (SELECT tree_id, count(*) AS n, count(*) FILTER (NOT sub) AS a FROM kept GROUP BY tree_id)
 """
 
@@ -221,6 +222,17 @@ def bracket_text(spark, sf_dir):
     return brackets.write(brackets.nodes(_bracket_texts(spark, sf_dir)))
 
 
+@query(BRACKET_SQL + """, seg AS (
+  SELECT tree_id // 1000000 AS doc_id, tree_id, 0 AS nth, 'HS' AS label, CAST(sum(n) OVER (PARTITION BY tree_id // 1000000 ORDER BY tree_id) - n AS INT) AS "start", n AS len FROM tree
+  UNION ALL SELECT tree_id // 1000000, tree_id, 1, 'SUB', CAST(sum(n) OVER (PARTITION BY tree_id // 1000000 ORDER BY tree_id) - n + a AS INT), CASE WHEN a < n THEN n - a END FROM tree),
+numbered AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY tree_id, nth) - 1 AS INT) AS seg, label, "start", CAST(len AS INT) AS len FROM seg WHERE len IS NOT NULL)
+SELECT * FROM numbered""")
+def segment_lines(spark, sf_dir):
+    """The trees as lines of a document with segments; brackets among the words are escaped before, as the files have them."""
+    lines = _bracket_texts(spark, sf_dir).select(F.floor(F.col("tree_id") / 1000000).alias("doc_id"), F.col("tree_id").alias("line_no"), brackets.escape(F.col("text")).alias("line"))
+    return brackets.segment_lines(lines)
+
+
 @query(BRACKET_SQL + """SELECT tree_id, 0 AS node_id, CAST(CASE WHEN a < n THEN 3 ELSE 2 END AS INT) AS height, a = n AS preterminal FROM tree
 UNION ALL SELECT tree_id, a + 1, 2, true FROM tree WHERE a < n""")
 def node_height(spark, sf_dir):
@@ -293,6 +305,18 @@ def accuracy(spark, sf_dir):
     return _rounded(agreement.accuracy(agreement.confusions(*both(spark, sf_dir)), ["doc_id"]), "accuracy")
 
 
+@query(CONFUSION_SQL + """, c AS (SELECT unnest(CASE WHEN gold IS NOT NULL AND pred IS NOT NULL THEN ['all', 'gold', 'both'] WHEN gold IS NOT NULL THEN ['all', 'gold'] ELSE ['all'] END) AS pairs, gold, pred FROM pairs),
+g AS (SELECT pairs, coalesce(gold, '') AS cat, count(*) AS k FROM c GROUP BY ALL), h AS (SELECT pairs, coalesce(pred, '') AS cat, count(*) AS k FROM c GROUP BY ALL),
+e AS (SELECT pairs, sum(g.k * h.k) AS s FROM g JOIN h USING (pairs, cat) GROUP BY pairs),
+r AS (
+  SELECT pairs, count(*) AS n, count(*) FILTER (gold IS NOT NULL AND pred IS NOT NULL) AS matching, count(*) FILTER (gold = pred) AS same,
+    count(*) FILTER (gold IS NOT DISTINCT FROM pred) / count(*) AS accuracy FROM c GROUP BY pairs)
+SELECT pairs, n, matching, same, round(matching / n, 6) + 0.0 AS share, round(accuracy, 6) + 0.0 AS accuracy, round(coalesce(s, 0)::DOUBLE / n / n, 6) + 0.0 AS expected,
+  round((accuracy - coalesce(s, 0)::DOUBLE / n / n) / (1 - coalesce(s, 0)::DOUBLE / n / n), 6) + 0.0 AS kappa FROM r LEFT JOIN e USING (pairs)""")
+def confusion_report(spark, sf_dir):
+    return _rounded(agreement.confusion_report(agreement.confusions(*both(spark, sf_dir))), "share", "accuracy", "expected", "kappa")
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
 
@@ -319,6 +343,20 @@ def labelled_f1(spark, sf_dir):
     return _rounded(agreement.parseval(g, p, True, ["doc_id"]), "precision", "recall", "f1")
 
 
+def pooled_sql() -> str:
+    """Precision, recall and F1 over the brackets of all documents together."""
+    head = parseval_sql("a.label").split("SELECT coalesce(p.doc_id")[0]
+    share = lambda a, b: f"(SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM {b} y WHERE x.doc_id = y.doc_id AND x.\"start\" = y.\"start\" AND x.len = y.len AND x.label = y.label) THEN 1.0 ELSE 0.0 END) FROM {a} x)"
+    return f"""{head}, s AS (SELECT {share("pb", "ga")} AS precision, {share("ga", "pb")} AS recall)
+SELECT round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, CASE WHEN precision + recall = 0 THEN 0.0 ELSE round(2 * precision * recall / (precision + recall), 6) + 0.0 END AS f1 FROM s"""
+
+
+@query(pooled_sql())
+def pooled_f1(spark, sf_dir):
+    g, p = map(agreement.with_height, both(spark, sf_dir))
+    return _rounded(agreement.parseval(g, p, True, []), "precision", "recall", "f1")
+
+
 WINDOW_SQL = cuts_sql("gold") + cuts_sql("pred") + """, gpos AS (SELECT doc_id, seg AS a, unnest(range(cut, cut + mass)) AS tok_no FROM gold_mass),
 ppos AS (SELECT doc_id, seg AS b, unnest(range(cut, cut + mass)) AS tok_no FROM pred_mass),
 pos AS MATERIALIZED (SELECT * FROM gpos JOIN ppos USING (doc_id, tok_no)),
@@ -343,9 +381,25 @@ def metrics_report(spark, sf_dir):
     return _rounded(agreement.report(_rounded(agreement.windows(*both(spark, sf_dir)), "pk", "window_diff"), ["pk", "window_diff"]), "mean", "std")
 
 
-@query()
+PI_SQL = cuts_sql("gold") + cuts_sql("pred") + """, ends AS (
+  SELECT 'a' AS side, doc_id, cut, min(cut) OVER w AS lo, max(cut) OVER w AS hi FROM gold_cuts WINDOW w AS (PARTITION BY doc_id)
+  UNION ALL SELECT 'b', doc_id, cut, min(cut) OVER w, max(cut) OVER w FROM pred_cuts WINDOW w AS (PARTITION BY doc_id)),
+inner_cuts AS MATERIALIZED (SELECT side, doc_id, cut FROM ends WHERE cut > lo AND cut < hi),
+single AS (SELECT doc_id, cut, min(side) AS side FROM inner_cuts GROUP BY doc_id, cut HAVING count(*) = 1),
+linked AS (SELECT *, CASE WHEN lag(cut) OVER w = cut - 1 AND lag(side) OVER w <> side THEN 0 ELSE 1 END AS breaks FROM single WINDOW w AS (PARTITION BY doc_id ORDER BY cut)),
+chains AS (SELECT doc_id, sum(breaks) OVER (PARTITION BY doc_id ORDER BY cut) AS chain FROM linked),
+moves AS (SELECT sum(n // 2) AS moved, sum(n) AS alone FROM (SELECT count(*) AS n FROM chains GROUP BY doc_id, chain)),
+total AS (
+  SELECT (SELECT count(*) FROM whole) AS n_docs, (SELECT count(*) FROM inner_cuts) AS placed, coalesce(moved, 0) AS moved, coalesce(alone, 0) AS alone,
+    (SELECT sum(2 * greatest(hi - 1, 0)) FROM (SELECT doc_id, max(hi) AS hi FROM ends WHERE side = 'a' GROUP BY doc_id)) AS places FROM moves),
+s AS (
+  SELECT n_docs, 1 - (alone - 2 * moved + 0.5 * moved) / (alone - moved + (placed - alone) / 2) AS similarity, (placed / places) * (placed / places) AS chance FROM total)
+"""
+
+
+@query(PI_SQL + "SELECT n_docs, round(similarity, 6) + 0.0 AS similarity, round(chance, 6) + 0.0 AS chance, round((similarity - chance) / (1 - chance), 6) + 0.0 AS pi FROM s")
 def boundary_pi(spark, sf_dir):
-    return agreement.boundary_pi(*both(spark, sf_dir))
+    return _rounded(agreement.boundary_pi(*both(spark, sf_dir)), "similarity", "chance", "pi")
 
 
 @query()
@@ -415,6 +469,16 @@ def segments_generous(spark, sf_dir):
     return dependency.segments(toks(spark, sf_dir), "generous")
 
 
+@query("SELECT doc_id, '(TEXT ' || string_agg(text, chr(10) ORDER BY sent_id) || ' )' AS text FROM (SELECT doc_id, sent_id, '(HS ' || string_agg(form, ' ' ORDER BY idx) || ' )' AS text FROM tok GROUP BY doc_id, sent_id) GROUP BY doc_id")
+def text_assembly(spark, sf_dir):
+    """Each sentence one segment: no word but the root begins one."""
+    return dependency.assemble(dependency.segments(toks(spark, sf_dir), "generous", decide=_root_only))
+
+
+def _root_only(idx: int, rel: str, child_tags: list[str]) -> str | None:
+    return "HS" if rel == "ROOT" else None
+
+
 @query("""SELECT t.doc_id, t.tok_no, g."start", g.len, g.label FROM tok t JOIN gold g ON g.doc_id = t.doc_id AND t.tok_no >= g."start" AND t.tok_no < g."start" + g.len
 QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.tok_no ORDER BY depth DESC, len) = 1""")
 def token_owners(spark, sf_dir):
@@ -626,8 +690,8 @@ def segment_text(spark, sf_dir):
 
 @query()
 def svm_predictions(spark, sf_dir):
-    """The kind of segment that each token stands in, told from its tag and relation by two-fold cross-validation."""
+    """The kind of segment that each token stands in, told from its tag and relation by ten-fold cross-validation."""
     t = toks(spark, sf_dir)
     owner = labels.owners(annotate.gold(t)).select("doc_id", "tok_no", "label")
     rows = learning.one_hot(t, ["rel", "tag"]).join(owner, ["doc_id", "tok_no"]).select("doc_id", "names", "label", F.col("idx").cast("double"))
-    return learning.cross_validate(rows, ["idx"], k=2, iterations=5).groupBy("fold", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return learning.cross_validate(rows, ["idx"]).groupBy("fold", "gold", "pred").agg(F.count(F.lit(1)).alias("n"))

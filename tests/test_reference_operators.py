@@ -52,7 +52,7 @@ def test_cascade_keeps_the_tokens(seed):
     sent = [{"idx": k + 1, "form": "um" if r.random() < 0.1 else f"w{k}", "lemma": r.choice(["um", "zu", "genug", "dass", "sagen", "x"]), "pos": r.choice(tags), "feat": {}, "phead": r.randint(0, 9), "pdeprel": "--"} for k in range(r.randint(1, 60))]
     tree = grammar.clause_tree(sent)
     assert [t["idx"] for t in tree.tokens()] == list(range(1, len(sent) + 1))
-    assert {t["idx"] for t in edu.segment(sent).tokens()} <= set(range(1, len(sent) + 1))
+    assert sorted(t["idx"] for t in edu.segment(sent).tokens()) == list(range(1, len(sent) + 1))
 
 
 def test_group_limits_the_node_and_not_the_match():
@@ -87,7 +87,7 @@ def test_lexicon():
     assert lexicon.verb_matches(table, "sagen", []) and not lexicon.verb_matches(table, "zeigen", [dep("es", rel="SB")])
     assert lexicon.verb_matches(table, "zeigen", [dep("es", rel="SB"), dep("sich", rel="OA")])
     assert lexicon.verb_matches(table, "nehmen", [dep("wahr", "PTKVZ")]) and lexicon.verb_matches(table, "nehmen", [dep("an", "PTKVZ")]) and not lexicon.verb_matches(table, "nehmen", [])
-    assert lexicon.verb_matches(table, "annehmen", []) and len(lexicon.finite_verbs()) == 313
+    assert lexicon.verb_matches(table, "annehmen", []) and lexicon.finite_verbs()["hättest"] == "A" and lexicon.finite_verbs()["ging"] == "V"
     assert lexicon.read_typed_verbs(["bin\tA\n", "\n"]) == {"bin": "A"} and lexicon.read_skip_rules(["# x", "a@b # y"]) == ["a@b"]
 
 
@@ -127,6 +127,27 @@ def test_tree_files(spark):
     assert spark.range(1).select(brackets.pieces(F.lit("(A x (B y ) ) (C z )"))).first()[0] == ["(A x (B y ) )", "(C z )"]
 
 
+def test_segment_files(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 0, "(HS Wir gehen , (SUB wenn es regnet . ) )"), (1, 1, " "), (1, 2, "(A (B x ) ) y (C )"), (2, 0, "ohne")], "doc_id long, line_no int, line string")
+    got = brackets.segment_lines(lines).orderBy("doc_id", "seg").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "HS", 0, 7), (1, 1, "SUB", 3, 4), (1, 2, "A", 7, 1), (1, 4, "C", 9, 0)]
+    bad = spark.createDataFrame([(1, 0, "(HS a"), (1, 1, ") (HS b"), (1, 2, "(HS c )")], "doc_id long, line_no int, line string")
+    with pytest.raises(Exception, match="balance"):
+        brackets.segment_lines(bad).collect()
+    assert [r.label for r in brackets.segment_lines(bad, "PERMISSIVE").collect()] == ["HS"]
+    assert brackets.segment_lines(lines.limit(0)).count() == 0
+    (tmp_path / "a.tree").write_text("(TEXT\n (HS a b )\n (HS c ) )\n")
+    trees = brackets.nodes(brackets.tree_files(spark, str(tmp_path)))
+    assert {(r.tree_id, r.label, r.start, r.end) for r in trees.where("not is_leaf").collect()} == {("a", "TEXT", 0, 3), ("a", "HS", 0, 2), ("a", "HS", 2, 3)}
+
+
+def test_rows_of_corrupt_lines_are_left_out(spark):
+    lines = [(1, 0, "\t".join(["1", "er", "_", "er", "_", "PPER", "_", "_", "-1", "2", "_", "SB", "_", "_"])), (1, 1, "broken"), (1, 2, "\t".join(["x"] * 14))]
+    read = conll.rows(spark.createDataFrame(lines, "doc_id long, line_no int, line string"))
+    assert read.count() == 3
+    assert [r.n_tokens for r in rules.segments(read).where("label = 'SDS'").collect()] == [1]
+
+
 def test_kappa_of_the_textbook(spark):
     pairs = 46 * [(0, 0)] + 6 * [(1, 0)] + 32 * [(1, 1)] + 6 * [(1, 2)] + 10 * [(2, 2)]
     r = agreement.kappa(spark.createDataFrame([(1, str(a), str(b)) for a, b in pairs], "doc_id int, gold string, pred string"), ["doc_id"]).first()
@@ -282,8 +303,7 @@ def test_segments_cover_all_tokens(spark):
 
 
 def test_greedy_keeps_all_words(spark):
-    n = plans.toks(spark, SF).where("tag not in ('$(')").count()
+    count = lambda column: {r.w: r["count"] for r in column.where("w <> '' and w not rlike '[()]'").groupBy("w").count().collect()}
+    want = count(plans.toks(spark, SF).select(F.col("form").alias("w")))
     for name in ("segments_greedy", "segments_generous"):
-        text = plans.QUERIES[name](spark, SF)
-        words_ = text.select(F.explode(F.split("text", " ")).alias("w")).where("w <> '' and w not rlike '^[()]'").count()
-        assert words_ >= 0.99 * n
+        assert count(plans.QUERIES[name](spark, SF).select(F.explode(F.split("text", " ")).alias("w"))) == want
