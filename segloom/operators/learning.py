@@ -79,9 +79,15 @@ def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool =
     trained on as one of their joint weight, so iterations run over different rows only. min_rows: rows that a name
     needs, or their share below 1; the names kept are held by the driver.
     """
-    counted = rows.groupBy("names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows"))
-    share = F.col("share") if balanced else F.lit(1.0)
-    counted = counted.join(F.broadcast(class_weights(rows)).select("label", F.col("weight").alias("share")), "label").withColumn("weight", share * F.col("n_rows")).persist()
+    return _fit(rows.groupBy("names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows")), numbers, c, balanced, min_rows, iterations)
+
+
+def _fit(counted: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool = True, min_rows: float = 1.0, iterations: int = 30) -> PipelineModel:
+    """train() of rows that are counted by n_rows."""
+    sizes = counted.groupBy("label").agg(F.sum("n_rows").alias("own"))
+    sums = sizes.agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("k"))
+    shares = sizes.crossJoin(sums).select("label", (F.col("all") / (F.col("k") * F.col("own")) if balanced else F.lit(1.0)).alias("share"))
+    counted = counted.join(F.broadcast(shares), "label").withColumn("weight", F.col("share") * F.col("n_rows")).persist()
     try:
         n = counted.agg(F.sum("n_rows")).first()[0] or 1
         need = min_rows if min_rows >= 1 else min_rows * n
@@ -94,7 +100,7 @@ def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool =
             hot,
             VectorAssembler(inputCols=["hot", *numbers], outputCol="all"),
             VarianceThresholdSelector(featuresCol="all", outputCol="features", varianceThreshold=0.0),
-            OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index"),
+            OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index", parallelism=4),
         ]
         fitted = Pipeline(stages=stages).fit(counted)
         back = IndexToString(inputCol="index", outputCol="pred", labels=fitted.stages[0].labels)
@@ -119,15 +125,17 @@ def load(model: str | PipelineModel) -> PipelineModel:
 
 
 def cross_validate(rows: DataFrame, numbers: list[str], k: int = 10, **options) -> DataFrame:
-    """(fold, gold, pred) of every row, each by a model that was trained on the other folds' documents."""
-    rows = rows.join(folds(rows, k), "doc_id").persist()
+    """(fold, gold, pred) of every row, each by a model that was trained on the other folds' documents.
+
+    Rows of a fold that are alike are trained on and told once, and counted; the counted rows stay persisted, as the
+    result is still to be computed from them.
+    """
+    counted = rows.join(folds(rows, k), "doc_id").groupBy("fold", "names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows")).persist()
     parts = []
-    try:
-        for (fold,) in sorted(rows.select("fold").distinct().collect()):
-            model = train(rows.where(F.col("fold") != fold), numbers, **options)
-            parts.append(model.transform(rows.where(F.col("fold") == fold)).select("fold", F.col("label").alias("gold"), "pred"))
-    finally:
-        rows.unpersist()
+    for (fold,) in sorted(counted.select("fold").distinct().collect()):
+        model = _fit(counted.where(F.col("fold") != fold).drop("fold"), numbers, **options)
+        own = model.transform(counted.where(F.col("fold") == fold))
+        parts.append(own.select("fold", F.col("label").alias("gold"), "pred", F.explode(F.sequence(F.lit(1), "n_rows"))).select("fold", "gold", "pred"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
