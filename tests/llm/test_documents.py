@@ -115,6 +115,50 @@ def test_a_table_links_members_that_agree_with_another_than_the_first():
     assert edges == {(1, 4), (2, 3)}
 
 
+def test_only_pairs_of_different_labels_with_like_marks():
+    """What is in one group by now isn't compared again; unlike marks and other tables don't meet."""
+    marks = [np.array([x] * 3, np.uint64).tobytes() for x in (0, 0, 0, 2**64 - 1, 0)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([5, 5, 5, 5, 6]), pa.array([1, 2, 3, 4, 9]), pa.array([0] * 5), pa.array([1, 1, 3, 4, 9]), pa.array(marks, pa.binary())],
+        names=["key", "node", "sketch", "label", "marks"],
+    )
+    edges = [tuple(sorted(e)) for b in minhash._in_tables(40, 10)(iter([batch])) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert sorted(edges) == [(1, 3), (2, 3)]
+
+
+def test_pairs_are_verified_without_their_component():
+    """A task is given pairs with their texts, however large the component of candidates is."""
+    base = prose(5, 40).split()
+    near, far = [*base[:-2], "x", "y"], [*base[:10], *prose(6, 30).split()]
+    texts = [" ".join(t) for t in (base, near, far)]
+    batch = pa.RecordBatch.from_pydict({"u": [1, 1, 2], "v": [2, 3, 3], "u_text": [texts[0], texts[0], texts[1]], "v_text": [texts[1], texts[2], texts[2]]})
+    assert [tuple(r.values()) for b in minhash._verified(0.5)(iter([batch])) for r in b.to_pylist()] == [(1, 2)]
+
+
+def test_marks_tell_boilerplate_from_near_texts():
+    """Pairs of Jaccard 0.5 to 0.6 pass, and most that share a fifth of their shingles don't, half of which agree in their sketches."""
+    r, texts, kinds = random.Random(8), [], []
+    while len(kinds) < 600:
+        words = [f"w{r.getrandbits(40)}" for _ in range(60)]
+        new = list(words)
+        if len(kinds) % 2:
+            new[22:] = [f"n{r.getrandbits(40)}" for _ in range(38)]
+        else:
+            for at in r.sample(range(60), 4):
+                new[at] = f"n{r.getrandbits(40)}"
+        a, b = ({tuple(w[k : k + 3]) for k in range(58)} for w in (words, new))
+        same = len(a & b) / len(a | b)
+        if 0.5 <= same or same < 0.25:
+            texts += [" ".join(words), " ".join(new)]
+            kinds.append(same >= 0.5)
+    batch = pa.RecordBatch.from_pydict({"node": np.arange(len(texts)), "text": texts})
+    out = pa.Table.from_batches(list(minhash.half_keys(minhash.BANDS, minhash.ROWS)(iter([batch]))))
+    marks, sketch, near = minhash._marks(out.column("marks")), out.column("sketch").to_numpy(), np.array(kinds)
+    like = minhash._unlike(marks[::2], marks[1::2]) <= minhash.differing(0.5, 2 * minhash.BANDS * minhash.ROWS + minhash.MARKS)
+    agree = np.bitwise_count(~(sketch[::2] ^ sketch[1::2]).view(np.uint64)) >= minhash.agreement(0.5)
+    assert like[near].mean() > 0.99 and like[~near].mean() < 0.02 and agree[~near].mean() > 0.4
+
+
 # repeated passages
 
 
