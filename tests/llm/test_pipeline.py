@@ -89,3 +89,16 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert minhash.drop_near(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_stage_of_near_duplicates_verifies_few_pairs(spark, monkeypatch):
+    """Texts that share a fifth are candidates by the hundred, but hardly any pair of them is read; no copy stays."""
+    shared = prose(2000, 24)
+    rows = [(i, f"{shared} {prose(2001 + i, 38)}") for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS)
+    read, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda pairs, *rest: read.append(pairs.count()) or links(pairs, *rest))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(x.doc_id for x in kept) == list(range(300))
+    assert 30 <= sum(read) < 1000
