@@ -83,6 +83,7 @@ class Code:
         self.nodes = np.array([n for p in paths for n, _ in p])
         self.places = _hash32(self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)).astype(np.int64)
         self.bits = np.array([b for p in paths for _, b in p], np.uint8)
+        self.ones = self.bits.astype(np.float32)
 
 
 def _hash32(x: np.ndarray) -> np.ndarray:
@@ -330,6 +331,29 @@ def fit(docs: DataFrame, bits: int = BITS) -> tuple[Code, list[list[np.ndarray]]
 # Mixing
 
 
+class Scratch:
+    """Arrays that the next batch uses again, as fresh memory is slow; longer ones than batches usually need aren't kept."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, n: int, kind: type, rows: int = 1) -> np.ndarray:
+        if n > 8 * CHUNK:
+            return np.empty((rows, n) if rows > 1 else n, kind)
+        if name not in self.held or len(self.held[name]) < n * rows:
+            self.held[name] = np.empty(min(n + n // 4, 8 * CHUNK) * rows, kind)
+        found = self.held[name][: n * rows]
+        return found.reshape(rows, n) if rows > 1 else found
+
+    def upto(self, n: int) -> np.ndarray:
+        """The numbers below n."""
+        if n > 8 * CHUNK:
+            return np.arange(n)
+        if "upto" not in self.held or len(self.held["upto"]) < n:
+            self.held["upto"] = np.arange(max(n, 5 * CHUNK))
+        return self.held["upto"][:n]
+
+
 class Reader:
     """State of the mixer and the refinement for some texts."""
 
@@ -343,12 +367,9 @@ class Reader:
     def read(self, rows: np.ndarray, sizes: np.ndarray, x: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """The chance given to each decision in a block of some texts: rows (text and gate) and sizes of the runs of decisions, x (contexts x decisions) in sixteenths."""
         starts = np.cumsum(sizes) - sizes
-        w = self.weights[:, rows]
-        z = np.repeat(w[CONTEXTS], sizes)
-        for k in range(CONTEXTS):
-            own = np.repeat(w[k], sizes)
-            own *= x[k]
-            z += own
+        own = self.weights[:, rows].repeat(sizes, axis=1)
+        own[:CONTEXTS] *= x
+        z = np.add.reduce(own, axis=0)
         np.clip(z, -8, 8, out=z)
         p = np.exp(-z)
         p += 1
@@ -367,10 +388,12 @@ class Reader:
         refined -= 1 - bit
         miss = np.subtract(bit, p, out=p)
         step = np.float32(STEP) / sizes.astype(np.float32)
-        self.weights[CONTEXTS, rows] += step * np.add.reduceat(miss, starts)
-        step *= UNIT * UNIT
-        for k in range(CONTEXTS):
-            self.weights[k, rows] += step * np.add.reduceat(np.multiply(miss, x[k], out=own), starts)
+        np.multiply(miss, x, out=own[:CONTEXTS])
+        own[CONTEXTS] = miss
+        change = np.add.reduceat(own, starts, axis=1)
+        change[:CONTEXTS] *= UNIT * UNIT
+        change *= step
+        self.weights[:, rows] += change
         kind *= 2
         kind += bit > 0
         counts += np.bincount(kind, minlength=len(counts))
@@ -382,8 +405,9 @@ def blocks(at: np.ndarray) -> np.ndarray:
     return np.where(at < EARLY, at // BLOCK, EARLY // BLOCK + (at - EARLY) // LATER)
 
 
-def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[np.ndarray], bits: int | Sequence[int]) -> np.ndarray:
-    """Bits of each byte of some texts, by one fold's tables; bits: log2 of their cells, of all or of each."""
+def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[np.ndarray], bits: int | Sequence[int], room: Scratch | None = None) -> np.ndarray:
+    """Bits of each byte of some texts, by one fold's tables; bits: log2 of their cells, of all or of each; room: what other calls have used."""
+    room = room or Scratch()
     logs = [int(b) for b in np.broadcast_to(bits, CONTEXTS)]
     lengths = np.diff(bounds)
     rank = np.argsort(-lengths, kind="stable")
@@ -410,27 +434,33 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[n
         key = number * GATES + _KINDS[three & np.uint32(255)]
         order = np.argsort(key.astype(np.uint16 if len(owner) * GATES < 1 << 16 else np.int64), kind="stable")
         key, chosen = key[order], part[skip:][order]
-        many, path = decisions(chosen, code)
-        spots, bit = code.places.take(path, mode="clip"), code.bits.take(path, mode="clip").astype(np.float32)
-        x = np.empty((CONTEXTS, len(path)), np.float32)
+        many = code.lengths.take(chosen)
+        begins = np.cumsum(many) - many
+        n = int(begins[-1] + many[-1])
+        # a byte's decisions look up its contexts and path by its number: cheaper than to repeat each
+        byte = np.repeat(np.arange(len(chosen)), many)
+        at = (code.begins.take(chosen) - begins).take(byte, out=room("at", n, np.intp), mode="clip")
+        at += room.upto(n)
+        spots = code.places.take(at, out=room("spots", n, np.int64), mode="clip")
+        bit = code.ones.take(at, out=room("bit", n, np.float32), mode="clip")
+        x, logit = room("x", n, np.float32, CONTEXTS), room("logit", n, np.int8)
         for k in range(CONTEXTS):
-            at = np.repeat(known[k][order], many)
+            known[k].take(order).take(byte, out=at, mode="clip")
             at += spots
             at &= (1 << logs[k]) - 1
-            x[k] = tables[k].take(at, mode="clip")
+            x[k] = tables[k].take(at, out=logit, mode="clip")
         first = starts_of(key)
         key = key[first]
-        begins = np.cumsum(many) - many
         runs = begins[first]
-        sizes = np.diff(np.r_[runs, len(path)])
+        sizes = np.diff(np.r_[runs, n])
         rows = owner[key // GATES] * GATES + key % GATES
         edge = starts_of(np.repeat(np.arange(len(going)), going)[key // GATES])
-        chances = []
+        taken = room("taken", n, np.float32)
         for a, b in zip(edge, np.r_[edge[1:], len(runs)]):
-            at, to = runs[a], runs[b] if b < len(runs) else len(path)
-            chances.append(reader.read(rows[a:b], sizes[a:b], x[:, at:to], bit[at:to]))
+            low, high = runs[a], runs[b] if b < len(runs) else n
+            taken[low:high] = reader.read(rows[a:b], sizes[a:b], x[:, low:high], bit[low:high])
         own = np.empty(len(order), np.float32)
-        own[order] = -np.log2(np.multiply.reduceat(np.concatenate(chances), begins, dtype=np.float64))
+        own[order] = -np.add.reduceat(np.log2(taken, out=taken), begins)
         out[before : before + len(own)] = own
         before += len(own)
     return out
@@ -494,7 +524,7 @@ def _scorer(model, id_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, tables = model.value
-        bits = [len(t).bit_length() - 1 for t in tables[0]]
+        bits, room = [len(t).bit_length() - 1 for t in tables[0]], Scratch()
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 36
         for whole in batches:
@@ -502,7 +532,7 @@ def _scorer(model, id_type: pa.DataType):
                 for batch in runs:
                     data, bounds = text_buffers(batch.column("text"))
                     sums = np.zeros(len(data) + 1)
-                    np.cumsum(bits_of(data, bounds, code, tables[(fold + 1) % FOLDS], bits), out=sums[1:], dtype=np.float64)
+                    np.cumsum(bits_of(data, bounds, code, tables[(fold + 1) % FOLDS], bits, room), out=sums[1:], dtype=np.float64)
                     text, start, end, known, stretch = stretches(data, bounds)
                     lists = pa.ListArray.from_arrays(
                         pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)), pa.int32()),

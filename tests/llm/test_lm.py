@@ -268,3 +268,17 @@ def test_short_texts_learn():
     half, whole = (lm.bits_of(arr[:n], np.array([0, n]), code, tables, 8).sum() for n in (lm.BLOCK, 200))
     assert whole != pytest.approx(half * 200 / lm.BLOCK, rel=0.01)
     assert list(lm.blocks(np.array([0, lm.BLOCK, lm.EARLY - 1, lm.EARLY, lm.EARLY + lm.LATER]))) == [0, 1, lm.EARLY // lm.BLOCK - 1, lm.EARLY // lm.BLOCK, lm.EARLY // lm.BLOCK + 1]
+
+
+def test_arrays_that_batches_share_change_no_bit(monkeypatch):
+    """Batches that grow and shrink, and a text longer than what is kept, through the same arrays as by fresh ones."""
+    monkeypatch.setattr(lm, "CHUNK", 1 << 10)
+    r, room = np.random.default_rng(3), lm.Scratch()
+    batches = [[prose(500 + k, n) for k in range(m)] for m, n in ((3, 40), (6, 90), (1, 2000), (2, 5), (5, 60))]
+    arrays = [np.frombuffer("".join(b).encode(), np.uint8) for b in batches]
+    code = lm.Code(np.bincount(np.concatenate(arrays), minlength=256))
+    tables = [r.integers(-127, 128, 1 << 10).astype(np.int8) for _ in range(lm.CONTEXTS)]
+    for texts, data in zip(batches, arrays):
+        bounds = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+        assert np.array_equal(lm.bits_of(data, bounds, code, tables, 10, room), lm.bits_of(data, bounds, code, tables, 10))
+    assert room.held and all(len(a) <= 8 * lm.CHUNK * lm.CONTEXTS for a in room.held.values())
