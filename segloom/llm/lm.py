@@ -12,7 +12,7 @@ a context of the stretch up to the next such place, and a decision says whether
 another row has there. Its predictors (how many rows have the context, how such decisions went in this text)
 are mixed in the same way; a stretch that is known costs what picks it among those that others have, and its
 bytes cost nothing more. The long contexts are counted exactly, over all rows, in written tables that are
-joined, so they grow with the corpus; a row's own occurrences are taken out before it is scored.
+sorted by context, so they grow with the corpus; a row's own occurrences are taken out before it is scored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -81,7 +81,8 @@ class Code:
         self.lengths = np.array([len(p) for p in paths])
         self.begins = np.r_[0, np.cumsum(self.lengths)[:-1]]
         self.nodes = np.array([n for p in paths for n, _ in p])
-        self.places = _hash32(self.nodes.astype(np.uint32) * np.uint32(0x9E3779B1)).astype(np.int64)
+        #: The heavier a node, the lower its number: as cells follow their context's hash, those of a context's usual decisions are in one or two cache lines.
+        self.places = self.nodes.astype(np.int64)
         self.bits = np.array([b for p in paths for _, b in p], np.uint8)
         self.ones = self.bits.astype(np.float32)
 
@@ -377,10 +378,14 @@ class Reader:
         text = rows // GATES
         n = int(text.max()) + 1
         counts = self.counts[: n * CLASSES * 2]
-        chance = (counts[1::2] / (counts[::2] + counts[1::2])).astype(np.float32)
+        chance = (counts[1::2] / (counts[::2] + counts[1::2])).astype(np.float32).repeat(2)
+        # the class and the bit in one number, that of its count
         z *= 2
-        kind = np.rint(z, out=z).astype(np.intp)
-        kind += np.repeat(text * CLASSES + CLASSES // 2, sizes)
+        np.rint(z, out=z)
+        z *= 2
+        z += bit
+        kind = z.astype(np.intp)
+        kind += np.repeat((text * CLASSES + CLASSES // 2) * 2, sizes)
         refined = chance.take(kind, mode="clip")
         refined += p
         refined *= np.float32(0.5)
@@ -394,8 +399,6 @@ class Reader:
         change[:CONTEXTS] *= UNIT * UNIT
         change *= step
         self.weights[:, rows] += change
-        kind *= 2
-        kind += bit > 0
         counts += np.bincount(kind, minlength=len(counts))
         return np.abs(refined, out=refined)
 
@@ -433,22 +436,22 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[n
             owner, number = np.zeros(len(going), np.int64), block - block[0]
         key = number * GATES + _KINDS[three & np.uint32(255)]
         order = np.argsort(key.astype(np.uint16 if len(owner) * GATES < 1 << 16 else np.int64), kind="stable")
-        key, chosen = key[order], part[skip:][order]
-        many = code.lengths.take(chosen)
+        key, chosen = key[order], part[skip:][order].astype(np.intp)
+        many = code.lengths.take(chosen, mode="clip")
         begins = np.cumsum(many) - many
         n = int(begins[-1] + many[-1])
         # a byte's decisions look up its contexts and path by its number: cheaper than to repeat each
         byte = np.repeat(np.arange(len(chosen)), many)
-        at = (code.begins.take(chosen) - begins).take(byte, out=room("at", n, np.intp), mode="clip")
+        at = (code.begins.take(chosen, mode="clip") - begins).take(byte, out=room("at", n, np.intp), mode="clip")
         at += room.upto(n)
         spots = code.places.take(at, out=room("spots", n, np.int64), mode="clip")
         bit = code.ones.take(at, out=room("bit", n, np.float32), mode="clip")
         x, logit = room("x", n, np.float32, CONTEXTS), room("logit", n, np.int8)
         for k in range(CONTEXTS):
-            known[k].take(order).take(byte, out=at, mode="clip")
+            # cells(): a place is added to the last bits of a hash, and a table's end is followed by its begin
+            (known[k] & (1 << logs[k]) - 1).take(order, mode="clip").take(byte, out=at, mode="clip")
             at += spots
-            at &= (1 << logs[k]) - 1
-            x[k] = tables[k].take(at, out=logit, mode="clip")
+            x[k] = tables[k].take(at, out=logit, mode="wrap")
         first = starts_of(key)
         key = key[first]
         runs = begins[first]
@@ -460,7 +463,7 @@ def bits_of(data: np.ndarray, bounds: np.ndarray, code: Code, tables: Sequence[n
             low, high = runs[a], runs[b] if b < len(runs) else n
             taken[low:high] = reader.read(rows[a:b], sizes[a:b], x[:, low:high], bit[low:high])
         own = np.empty(len(order), np.float32)
-        own[order] = -np.add.reduceat(np.log2(taken, out=taken), begins)
+        own[order] = -np.bincount(byte, np.log2(taken, out=taken), len(order))
         out[before : before + len(own)] = own
         before += len(own)
     return out
@@ -594,13 +597,11 @@ def score(docs: DataFrame, bits: int = BITS) -> DataFrame:
     scored = materialise(scored, "scored")
     model.destroy()
     long = scored.select("row", F.posexplode("long").alias("at", "l")).select("row", "at", "l.*")
-    contexts_ = long.groupBy("context").agg(F.count(F.lit(1)).alias("have_context")).where("have_context > 1")
-    stretches_ = long.groupBy("context", "stretch").agg(F.count(F.lit(1)).alias("have_stretch")).where("have_stretch > 1")
-    shared = long.join(contexts_, "context").where("have_context > own_context").join(stretches_, ["context", "stretch"], "left")
-    shared = shared.select(
-        "row", "at", (F.col("have_context") - F.col("own_context")).alias("others"),
-        F.coalesce(F.col("have_stretch") - F.col("own_stretch"), F.lit(0)).cast("long").alias("same"), "bits",
-    )
+    # one shuffle and one sort serve both counts; a context of many rows is spilled, not held. Where a row has all of a context, nothing else does, so whole contexts are left out between them
+    long = long.repartition("context").sortWithinPartitions("context", "stretch")
+    shared = long.withColumn("have_context", F.count(F.lit(1)).over(Window.partitionBy("context"))).where("have_context > own_context")
+    shared = shared.withColumn("have_stretch", F.count(F.lit(1)).over(Window.partitionBy("context", "stretch")))
+    shared = shared.select("row", "at", (F.col("have_context") - F.col("own_context")).alias("others"), (F.col("have_stretch") - F.col("own_stretch")).alias("same"), "bits")
     saved = shared.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_saved, "row long, change double")
     out = scored.select("row", "doc_id", "n_bytes", "bits").join(saved, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("change", F.lit(0.0)))
     return out.select("doc_id", "n_bytes", F.round("bits", 1).alias("bits"), F.round(F.try_divide("bits", "n_bytes"), 4).alias("bits_per_byte"))

@@ -282,3 +282,43 @@ def test_arrays_that_batches_share_change_no_bit(monkeypatch):
         bounds = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
         assert np.array_equal(lm.bits_of(data, bounds, code, tables, 10, room), lm.bits_of(data, bounds, code, tables, 10))
     assert room.held and all(len(a) <= 8 * lm.CHUNK * lm.CONTEXTS for a in room.held.values())
+
+
+def test_cells_of_a_context_are_side_by_side():
+    """No two decisions of a context share a cell, and nearly all that texts have are within a cache line's length."""
+    arr = np.frombuffer(" ".join(prose(k, 200) for k in range(20)).encode(), np.uint8)
+    code = lm.Code(np.bincount(arr, minlength=256))
+    lengths, path = lm.decisions(arr, code)
+    assert len(np.unique(code.places)) == 255 and code.places.min() >= 0 and code.places.max() < 256
+    assert (code.places[path] < 64).mean() > 0.95
+    # bits_of() takes the cells that cells() says, at a table's end too
+    tables = np.random.default_rng(5).integers(-127, 128, (lm.CONTEXTS, 1 << 8)).astype(np.int8)
+    arr = arr[: lm.BLOCK]
+    lengths, path = lm.decisions(arr, code)
+    known = lm.hashed(*lm.contexts(arr, np.array([0, len(arr)])))
+    x = sum(w * t[lm.cells(np.repeat(h, lengths), code.places[path], 8)] / 16 for w, t, h in zip(lm.START, tables, known))
+    p, centre = 1 / (1 + np.exp(-np.clip(x, -8, 8))), 1 / (1 + np.exp(-np.clip(np.rint(np.clip(x, -8, 8) * 2), -16, 16) / 2))
+    taken = np.abs(1 - code.bits[path] - np.clip((p + centre) / 2, 1 / 4096, 1 - 1 / 4096))
+    want = -np.add.reduceat(np.log2(taken), np.cumsum(lengths) - lengths)
+    assert lm.bits_of(arr, np.array([0, len(arr)]), code, tables, 8) == pytest.approx(want, rel=1e-3)
+
+
+def test_long_contexts_are_counted_by_one_shuffle(spark):
+    """Only each row's sum is joined, and a context that all rows have is counted in full when it is spilled."""
+    shared = prose(77, 60)
+    docs = [(k, f"{shared} {prose(800 + k % 30, 15)}") for k in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = lm.score(df, bits=12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("posexplode(") == 1
+    want = {r.doc_id: r.bits for r in out.collect()}
+    # each of 30 texts is there eight times, all begin alike: little is left to tell
+    assert max(want.values()) < 0.5 * lm.score(df.limit(1), bits=12).collect()[0].bits
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.windowExec.buffer.in.memory.threshold", "spark.sql.windowExec.buffer.spill.threshold")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "4")
+        assert {r.doc_id: r.bits for r in lm.score(df, bits=12).collect()} == pytest.approx(want, abs=0.11)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
