@@ -47,8 +47,8 @@ def folds(texts: DataFrame, k: int = 10) -> DataFrame:
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, weight): inverse to a class's rows, 1 on average."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("k"))
-    return counts.crossJoin(sums).select(label, "n", (F.col("all") / (F.col("k") * F.col("n"))).alias("weight"))
+    every = Window.partitionBy()  # of a row for each class
+    return counts.select(label, "n", (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
 
 
 def tp_fp_fn(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -61,9 +61,12 @@ def tp_fp_fn(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def label_f1(pairs: DataFrame) -> DataFrame:
     """(label, tp, n_gold, n_pred, f1) for every label of either side; an undefined score is 0."""
-    side = lambda c: pairs.groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias("n_" + c))
-    same = pairs.where("gold = pred").groupBy(F.col("gold").alias("label")).agg(F.count(F.lit(1)).alias("tp"))
-    rows = side("gold").join(side("pred"), "label", "full").join(same, "label", "left").na.fill(0, ["n_gold", "n_pred", "tp"])
+    counts = pairs.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    tp = F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(none)
+    own = lambda c, g, p, t: F.struct(F.col(c).alias("label"), g.alias("n_gold"), p.alias("n_pred"), t.alias("tp"))
+    sides = counts.select(F.explode(F.array(own("gold", F.col("n"), none, tp), own("pred", none, F.col("n"), none))).alias("s")).select("s.*")
+    rows = sides.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "n_gold", "n_pred")))
     return rows.select("label", "tp", "n_gold", "n_pred", (2 * F.col("tp") / (F.col("n_gold") + F.col("n_pred"))).alias("f1"))
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from segloom.functions import matching, morphology
 from segloom.operators import agreement, alignment, cascade, dependency, edu, grammar, labels, learning, rules, spans
+from segloom.plans import annotate
 from segloom.plans import queries as plans
 from segloom.sources import brackets, conll, lexicon
 from segloom.streaming import files
@@ -307,3 +309,64 @@ def test_greedy_keeps_all_words(spark):
     want = count(plans.toks(spark, SF).select(F.col("form").alias("w")))
     for name in ("segments_greedy", "segments_generous"):
         assert count(plans.QUERIES[name](spark, SF).select(F.explode(F.split("text", " ")).alias("w"))) == want
+
+
+# within one row: no shuffle, and the same as over grouped words
+
+#: Queries whose words don't leave their document's row, and those that shuffle a few counts or whole sentences only.
+LOCAL = ["dependency_closure", "subtree_spans", "subtree_features", "segments_greedy", "segments_generous", "clauses", "discourse_segments", "segment_text", "label_join_subtrees"]
+SUMMED = {"text_assembly": 1, "f1_tp_fp": 1, "class_weights": 2, "macro_micro_f1": 3}
+
+
+@pytest.mark.parametrize("name", LOCAL + sorted(SUMMED))
+def test_words_stay_in_their_row(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") + plan.count("Window") + plan.count("Aggregate") <= SUMMED.get(name, 0), plan
+
+
+def test_reader_equals_tokens(spark):
+    odd = spark.createDataFrame([(1, "Der Ärger, 12 ٣ ünd (\n\n \t\nWeil. İst Kon :\"x y"), (2, None), (3, ""), (4, "\n . \n"), (None, "a b")], "doc_id long, text string")
+    for docs in (odd, plans.documents(spark, SF)):
+        got = [(d, s, a + k, w.form[b + k], w.tag[b + k], w.rel[b + k], int(w.idx[b + k]), int(w.head[b + k])) for batch in annotate.plain(docs).toArrow().to_batches() for w in annotate.read(batch) for d, s, a, b, n in zip(w.doc, w.sent, w.start.tolist(), w.base.tolist(), w.size.tolist()) for k in range(n)]
+        want = [(r.doc_id, r.sent_id, r.tok_no, r.form, r.tag, r.rel, r.idx, r["head"]) for r in annotate.tokens(docs).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        t = annotate.tokens(docs)
+        for nodes, side in ((annotate.gold(t), annotate.gold_nodes), (annotate.pred(t), annotate.pred_nodes)):
+            own = []
+            for batch in annotate.plain(docs).toArrow().to_batches():
+                for w in annotate.read(batch):
+                    n = side(w)
+                    own += [(w.doc[w.first[d]], *x) for d, *x in zip(n.doc.tolist(), n.start.tolist(), n.len.tolist(), n.label.tolist(), n.depth.tolist())]
+            assert sorted(own, key=str) == sorted((tuple(r) for r in nodes.collect()), key=str)
+
+
+def test_subtrees_of_odd_heads(spark):
+    edges = [(1, 0, 1, 0, "a"), (1, 0, 2, 9, "b"), (1, 0, 3, 2, "c"), (1, 1, 1, 2, "d"), (1, 1, 2, 1, "e"), (1, 1, 3, None, None), (1, 1, 4, 3, "f")]
+    df = spark.createDataFrame([(*e, "NK", "NN") for e in edges], "doc_id long, sent_id int, idx int, head int, form string, rel string, tag string")
+    got = {(r.sent_id, r.idx): (r["first"], r["last"], r["size"], r.text) for r in dependency.subtree_spans(df).collect()}
+    assert got == {
+        (0, 1): (1, 1, 1, "a"), (0, 2): (2, 3, 2, "b c"), (0, 3): (3, 3, 1, "c"), (0, 9): (2, 3, 2, "b c"), (1, 1): (1, 2, 2, "d e"), (1, 2): (1, 2, 2, "d e"), (1, 3): (3, 4, 2, "f"), (1, 4): (4, 4, 1, "f"),
+    }
+    found = {(r.sent_id, r.idx): r for r in dependency.features(df).collect()}
+    assert len(found) == 7 and found[0, 2].head_word == "[NONE]" and found[0, 3]["rel+head_pos+this_pos"] == "NK+NN+NN" and found[0, 2].words == ["word_b", "word_c"] and found[0, 2].left_word == "a"
+    assert dependency.closure(df.limit(0)).count() == 0
+
+
+def test_long_sentences_take_time_in_proportion(spark):
+    n = 30_000
+    edges = spark.range(1, n + 1).selectExpr("1L doc_id", "0 sent_id", "cast(id as int) idx", "cast(id div 2 as int) head", "'w' form", "'NK' rel", "'NN' tag")
+    began = time.perf_counter()
+    assert dependency.closure(edges).count() == sum(k.bit_length() for k in range(1, n + 1))
+    assert dependency.segments(edges).first().text.count("w") == n
+    assert time.perf_counter() - began < 20  # steps in proportion to the square took minutes
+
+
+def test_rules_are_passed_over_only_where_they_cannot_match():
+    r = random.Random(1)
+    for c in (grammar.chunker(), grammar.clauses()):
+        letters = [c.alphabet[x] for x in list(c.alphabet._codes)]
+        for _ in range(300):
+            tags = "".join(r.choice(letters) for _ in range(r.randint(1, 12)))
+            for rule in c.rules:
+                assert not rule.regex.search(tags) or not any(map(set(tags).isdisjoint, rule.needs))
+        assert sum(bool(rule.needs) for rule in c.rules) > 0.8 * len(c.rules)
