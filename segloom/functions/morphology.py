@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CASE, NUMBER, GENDER = ("nom", "acc", "dat", "gen"), ("sg", "pl"), ("masc", "fem", "neut")
@@ -19,7 +23,7 @@ def parse_features(text: str | None) -> dict[str, str]:
     """Features of value|value (lower-cased) or name=value|name=value; "_" has none; unknown values are their own name."""
     found = {}
     for part in (text or "_").split("|"):
-        part = part.strip()
+        part = part.strip(" ")
         if not part or part == "_":
             continue
         name, sep, value = part.partition("=")
@@ -44,19 +48,33 @@ def unifies(a: int, b: int) -> bool:
     return all(a & b & m for m in (CASE_MASK, NUMBER_MASK, GENDER_MASK))
 
 
+def _by_text(text: pa.Array, kind: pa.DataType, made: Callable[[str], object]) -> pa.Array:
+    """made of each different text once; a null one is as "_"."""
+    one = pc.dictionary_encode(pc.fill_null(text, "_"))
+    return pa.array([made(t) for t in one.dictionary.to_pylist()], kind).take(one.indices)
+
+
 def features_column(text: Column) -> Column:
     """parse_features() as a map column; of a repeated name the last value counts."""
-    values = F.create_map(*(F.lit(x) for kv in VALUES.items() for x in kv))
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("_")), r"\|"), F.trim), lambda x: (x != "") & (x != "_"))
-    plain = lambda x: F.coalesce(F.try_element_at(values, F.lower(x)), F.lower(x))
-    value = lambda x: F.when(F.try_element_at(values, F.lower(x)).isNull(), "True").otherwise(F.lower(x))
-    entry = lambda x: F.struct(
-        F.when(x.contains("="), F.substring_index(x, "=", 1)).otherwise(plain(x)).alias("key"),
-        F.when(x.contains("="), F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise(value(x)).alias("value"),
-    )
-    entries = F.transform(parts, entry)
-    later = lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda o: o["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, later))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _by_text(texts, pa.map_(pa.string(), pa.string()), lambda t: list(parse_features(t).items()))
+
+    return F.arrow_udf(run, "map<string,string>")(text)
+
+
+def text_bits(text: Column) -> Column:
+    """feature_bits() of features that stand as text."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _by_text(texts, pa.int32(), lambda t: feature_bits(parse_features(t)))
+
+    return F.arrow_udf(run, "int")(text)
+
+
+def once(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, the column computed once for all that is made of it: the optimizer merges projections, but not into explode()."""
+    return rows.withColumn(name, F.explode(F.array(name)))
 
 
 def bits_column(feats: Column) -> Column:
