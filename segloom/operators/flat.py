@@ -79,6 +79,10 @@ class Nodes:
     label: np.ndarray
     depth: np.ndarray
 
+    def spans(self, w: Words) -> np.ndarray:
+        """A number for each node's place and length, the same for equal ones only."""
+        return ((w.base[w.first][self.doc] + self.start) << 32) + self.len
+
     @staticmethod
     def of(*parts: tuple) -> Nodes:
         """Nodes of several (doc, start, len, label, depth), of which a scalar holds for all."""
@@ -121,6 +125,20 @@ def over(source: DataFrame, read: Callable, work: Callable[[Words], Iterator[lis
     return source.mapInArrow(run, schema)
 
 
+def greatest(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each wanted key the greatest of its values, None if it isn't there. Nulls count as the least."""
+    found = np.full(len(wanted), None, object)
+    if len(keys):
+        names = sorted({v for v in values if v is not None})
+        rank = {v: k for k, v in enumerate([None, *names])}
+        order = np.lexsort((np.array([rank[v] for v in values]), keys))
+        keys, values = keys[order], values[order]
+        at = np.searchsorted(keys, wanted, side="right") - 1
+        hit = (at >= 0) & (keys[at] == wanted)
+        found[hit] = values[at[hit]]
+    return found
+
+
 def of(values: list, places: np.ndarray) -> pa.Array:
     """The values at these places."""
     return pa.array(values).take(pa.array(places))
