@@ -370,3 +370,20 @@ def test_rules_are_passed_over_only_where_they_cannot_match():
             for rule in c.rules:
                 assert not rule.regex.search(tags) or not any(map(set(tags).isdisjoint, rule.needs))
         assert sum(bool(rule.needs) for rule in c.rules) > 0.8 * len(c.rules)
+
+
+@pytest.mark.parametrize("name", ["label_join_constituents", "constituent_features", "kappa", "accuracy", "alpha_unit", "parseval_f1", "pk_window_diff"])
+def test_only_nodes_are_shuffled(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan, plan  # no row for each word
+    if name in ("label_join_constituents", "constituent_features"):
+        assert not any(x in plan for x in ("Join", "Window", "Aggregate")), plan
+
+
+def test_features_of_long_expressions_are_computed_once(spark):
+    plan = plans.QUERIES["morph_features"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1, plan  # one copy of the tag's expression, not one for each use of the line
+    df = spark.createDataFrame([("Nom|sg|neut|3",), ("pos|case=Gen|case=dat",), (" _ | ",), (None,), ("",)], "f string")
+    got = df.select(morphology.features_column(F.col("f")).alias("m"), morphology.text_bits(F.col("f")).alias("b")).collect()
+    assert [r.m for r in got] == [{"case": "nom", "num": "sg", "gender": "neut", "pers": "3"}, {"pos": "True", "case": "dat"}, {}, {}, {}]
+    assert [r.b for r in got] == [morphology.feature_bits(r.m) for r in got]
