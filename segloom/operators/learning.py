@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IndexToString, StringIndexer, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,24 +80,37 @@ def macro_micro(pairs: DataFrame) -> DataFrame:
 def train(rows: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool = True, min_rows: float = 1.0, iterations: int = 30) -> PipelineModel:
     """One-vs-rest linear SVM over names (one-hot) and numeric columns, without features that never vary.
 
-    rows: names, numbers, label. The hinge loss is Spark's, with regularisation 1 / (C n).
+    rows: names, numbers, label. The hinge loss is Spark's, with regularisation 1 / (C n). Rows that are alike are
+    trained on as one of their joint weight, so iterations run over different rows only. min_rows: rows that a name
+    needs, or their share below 1; the names kept are held by the driver.
     """
-    rows = rows.join(F.broadcast(class_weights(rows)).select("label", "weight"), "label") if balanced else rows.withColumn("weight", F.lit(1.0))
-    rows = rows.cache()
+    return _fit(rows.groupBy("names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows")), numbers, c, balanced, min_rows, iterations)
+
+
+def _fit(counted: DataFrame, numbers: list[str], c: float = 0.3, balanced: bool = True, min_rows: float = 1.0, iterations: int = 30) -> PipelineModel:
+    """train() of rows that are counted by n_rows."""
+    sizes = {r.label: r.own for r in counted.groupBy("label").agg(F.sum("n_rows").alias("own")).collect()}
+    n = sum(sizes.values())
+    share = F.create_map(*(F.lit(x) for label, own in sizes.items() if label is not None for x in (label, n / (len(sizes) * own) if balanced else 1.0)))
+    counted = counted.where("label is not null").withColumn("weight", F.try_element_at(share, F.col("label")) * F.col("n_rows")).persist()
     try:
-        svm = LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(rows.count(), 1)))
+        need = min_rows if min_rows >= 1 else min_rows * n
+        known = counted.select(F.explode(F.array_distinct("names")).alias("name"), "n_rows").groupBy("name").agg(F.sum("n_rows").alias("n")).where(F.col("n") >= need)
+        names = [r.name for r in known.orderBy(F.desc("n"), "name").collect()]
+        hot = CountVectorizerModel.from_vocabulary(names, inputCol="names", outputCol="hot").setBinary(True)
+        svm = LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(n, 1)))
         stages = [
             StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
-            CountVectorizer(inputCol="names", outputCol="hot", binary=True, minDF=min_rows, vocabSize=2**31 - 1),
+            hot,
             VectorAssembler(inputCols=["hot", *numbers], outputCol="all"),
             VarianceThresholdSelector(featuresCol="all", outputCol="features", varianceThreshold=0.0),
-            OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index"),
+            OneVsRest(classifier=svm, labelCol="label_index", featuresCol="features", weightCol="weight", predictionCol="index", parallelism=4),
         ]
-        fitted = Pipeline(stages=stages).fit(rows)
+        fitted = Pipeline(stages=stages).fit(counted)
         back = IndexToString(inputCol="index", outputCol="pred", labels=fitted.stages[0].labels)
         return PipelineModel(stages=[*fitted.stages[1:], back])
     finally:
-        rows.unpersist()
+        counted.unpersist()
 
 
 def save(model: PipelineModel, path: str) -> None:
@@ -115,12 +130,25 @@ def load(model: str | PipelineModel) -> PipelineModel:
 
 def cross_validate(rows: DataFrame, numbers: list[str], k: int = 10, **options) -> DataFrame:
     """(fold, gold, pred) of every row, each by a model that was trained on the other folds' documents."""
-    rows = rows.join(folds(rows, k), "doc_id").persist()
-    parts = []
-    # the result is still to be computed from these rows, so they stay persisted
-    for (fold,) in sorted(rows.select("fold").distinct().collect()):
-        model = train(rows.where(F.col("fold") != fold), numbers, **options)
-        parts.append(model.transform(rows.where(F.col("fold") == fold)).select("fold", F.col("label").alias("gold"), "pred"))
+    found = cross_validate_counted(rows, numbers, k, **options)
+    return found.select("fold", "gold", "pred", F.explode(F.sequence(F.lit(1), "n"))).select("fold", "gold", "pred")
+
+
+def cross_validate_counted(rows: DataFrame, numbers: list[str], k: int = 10, **options) -> DataFrame:
+    """(fold, gold, pred, n): cross_validate() with rows that are alike counted.
+
+    They are trained on and told once. The counted rows stay persisted, as the result is still to be computed from them.
+    """
+    counted = rows.join(folds(rows, k), "doc_id").groupBy("fold", "names", *numbers, "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = counted.coalesce(4).persist()  # different rows are few, and each iteration has a task for each part
+
+    def told(fold: int) -> DataFrame:
+        others = counted.where(F.col("fold") != fold).groupBy("names", *numbers, "label").agg(F.sum("n_rows").alias("n_rows")).coalesce(4)
+        own = _fit(others, numbers, **options).transform(counted.where(F.col("fold") == fold))
+        return own.groupBy("fold", F.col("label").alias("gold"), "pred").agg(F.sum("n_rows").alias("n"))
+
+    with ThreadPool(4) as pool:
+        parts = pool.map(told, sorted(r.fold for r in counted.select("fold").distinct().collect()))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

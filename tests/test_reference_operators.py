@@ -387,3 +387,21 @@ def test_features_of_long_expressions_are_computed_once(spark):
     got = df.select(morphology.features_column(F.col("f")).alias("m"), morphology.text_bits(F.col("f")).alias("b")).collect()
     assert [r.m for r in got] == [{"case": "nom", "num": "sg", "gender": "neut", "pers": "3"}, {"pos": "True", "case": "dat"}, {}, {}, {}]
     assert [r.b for r in got] == [morphology.feature_bits(r.m) for r in got]
+
+
+def test_svm_predictions_leave_folds_and_iterations_to_the_operator(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(learning, "cross_validate_counted", lambda rows, *args, **options: called.append((rows, args, options)))
+    plans.QUERIES["svm_predictions"](spark, SF)
+    (rows, args, options), = called
+    assert (args, options) == ((["idx"],), {})
+    t = plans.toks(spark, SF)
+    want = learning.one_hot(t, ["rel", "tag"]).join(labels.owners(annotate.gold(t)), ["doc_id", "tok_no"]).select("doc_id", "names", "label", F.col("idx").cast("double"))
+    count = lambda df: {tuple(map(str, r[:4])): r[4] for r in df.groupBy("doc_id", "names", "label", "idx").count().collect()}
+    assert count(rows) == count(want)
+
+
+def test_counted_predictions_are_those_of_each_row(spark):
+    rows = spark.createDataFrame([(k % 6, [f"f={k % 3}"], ["A", "B"][k % 3 == 0], float(k % 2)) for k in range(60)], "doc_id long, names array<string>, label string, n double")
+    counted = learning.cross_validate_counted(rows, ["n"], k=2, iterations=5).collect()
+    assert sum(r.n for r in counted) == 60 and sum(r.n for r in counted if r.gold == r.pred) == 60
